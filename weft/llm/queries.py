@@ -7,16 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, warc_zip
+from . import exact_dedup, packing, pieces, secrets, warc_zip
 from .common import table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -28,7 +44,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op8_secret_scans, op9_warc_zip)
+    f.__name__: f for f in (op2_packing, op3_exact_dedup, op6_pieces, op8_secret_scans, op9_warc_zip)
 }
 
 ORACLE_SQL: dict[str, str] = {
