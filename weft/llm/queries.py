@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pieces, secrets, warc_zip
+from . import exact_dedup, line_rules, packing, pieces, quality, secrets, warc_zip
 from .common import table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +20,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics_table(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    scores = quality.scored(stats, quality.fitted(stats, labels))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -29,6 +37,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_rules.judged(docs, line_rules.learned(docs, table(spark, sf_dir, "labels"))).drop("content_share")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
@@ -44,7 +57,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_exact_dedup, op6_pieces, op8_secret_scans, op9_warc_zip)
+    f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_line_rules, op6_pieces, op8_secret_scans, op9_warc_zip)
 }
 
 ORACLE_SQL: dict[str, str] = {
