@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_rules, packing, pieces, quality, secrets, warc_zip
+from . import exact_dedup, line_rules, near_dedup, packing, pieces, quality, secrets, warc_zip
 from .common import table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -46,6 +46,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -57,7 +61,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_line_rules, op6_pieces, op8_secret_scans, op9_warc_zip)
+    f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_line_rules, op6_pieces, op7_near_dedup, op8_secret_scans, op9_warc_zip)
 }
 
 ORACLE_SQL: dict[str, str] = {
