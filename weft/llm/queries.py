@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_rules, near_dedup, packing, pieces, quality, secrets, warc_zip
+from . import exact_dedup, license_scan, line_rules, near_dedup, packing, pieces, quality, secrets, substring_dedup, warc_zip
 from .common import table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,6 +42,10 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judged(docs, line_rules.learned(docs, table(spark, sf_dir, "labels"))).drop("content_share")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
@@ -60,8 +64,12 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(warc_zip.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_line_rules, op6_pieces, op7_near_dedup, op8_secret_scans, op9_warc_zip)
+    f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_line_rules, op5_substring_dedup, op6_pieces, op7_near_dedup, op8_secret_scans, op9_warc_zip, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
