@@ -3,23 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import common, exact_dedup, secrets
+from weft.llm import common, exact_dedup, line_rules, near_dedup, packing, secrets
+from weft.llm.queries import tokenizer_file
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the labelled lines reject go."""
+    field = line_rules.learned(docs, common.table(spark, sf_dir, "labels"))
+    return line_rules.kept_rows(docs, field)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts become marks."""
-    return secrets.redact(docs)
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts become marks, and n_chars follows."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in out.columns else out
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, with their places in sequences."""
+    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("secret scans", secrets_stage)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("secret scans", secret_scans),
+    ("packing", packed_sequences),
+]
 
-#: SQL can't express the stages' methods.
+#: SQL can't express the stages' methods; tests hold them against brute force.
 ORACLE_SQL = None
 
 
