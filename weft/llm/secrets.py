@@ -53,6 +53,8 @@ ENCODINGS = {
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 RANKS = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
+DIGIT_SET = frozenset(DIGITS)
+CLASSES = {name: [own for kind in (DIGITS, LOWER, UPPER, "+/-_") if (own := frozenset(kind) & frozenset(alphabet))] for name, alphabet in ENCODINGS.items()}
 SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 
 
@@ -69,9 +71,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding(run: str) -> str | None:
-    """The smallest alphabet that has all symbols of the run."""
+    """The smallest alphabet that has all symbols of the run, and of whose letters and digits the run has both."""
     symbols = frozenset(run)
-    return next((name for name, own in SETS.items() if symbols <= own), None)
+    mixed = bool(symbols & DIGIT_SET) and bool(symbols - DIGIT_SET)
+    return next((name for name, own in SETS.items() if symbols <= own and (mixed or len(own) > 36)), None)
 
 
 def _upper_gamma(a: float, x: float) -> float:
@@ -124,6 +127,11 @@ def battery(run: str, name: str) -> tuple[float, float, float]:
     for x in xs:
         counts[x * cells // size] += 1
     uniform = chi2_p(sum((c - n * w / size) ** 2 / (n * w / size) for c, w in zip(counts, widths, strict=True)), cells - 1)
+    # Words in an alphabet of several classes fail by their classes before they fail by their letters.
+    classes = CLASSES[name]
+    seen = [sum(c in own for c in run) for own in classes]
+    by_class = chi2_p(sum((c - n * len(own) / size) ** 2 / (n * len(own) / size) for c, own in zip(seen, classes, strict=True)), len(classes) - 1)
+    uniform = min(1.0, 2 * min(uniform, by_class))
     high = [2 * x >= size for x in xs]
     a = sum(high)
     b = n - a
