@@ -16,7 +16,7 @@ from .operators import KNOWS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-PERSON = 20
+PERSON = 13
 START, END = "1995-01-01", "1997-01-01"
 
 
