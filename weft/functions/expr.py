@@ -222,7 +222,8 @@ class Compiler:
         return self.value(node).isNotNull() if node.kind == "var" else self.value(node)
 
     def predicate(self, text: str) -> Column:
-        return F.coalesce(self.truth(parse(text)), F.lit(False))
+        """For `where`, which takes NULL as false; left bare, so that it reaches the scan."""
+        return self.truth(parse(text))
 
     def projection(self, text: str) -> Column:
         return self.value(parse(text))

@@ -289,7 +289,7 @@ class GraphQuery:
             return self
         out = self._prepared(predicate)
         condition = predicate if isinstance(predicate, Column) else Compiler(out.df, out.column).predicate(predicate)
-        return out._with(out.df.where(F.coalesce(condition, F.lit(False))))
+        return out._with(out.df.where(condition))
 
     def where(self, predicate: str | Column) -> GraphQuery:
         return self._filtered(predicate)

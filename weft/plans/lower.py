@@ -73,7 +73,12 @@ class Lowering:
             keys = [f"{a}__id" for a in sorted(plan.inputs[0].covered & plan.inputs[1].covered)]
             twice = [c for c in right.columns if c in left.columns and c not in keys]
             return left.join(right.drop(*twice), keys)
-        df, alias, main = self.lowered(plan.inputs[0]), plan.alias, plan.links[0]
+        alias, main, before = plan.alias, plan.links[0], plan.inputs[0]
+        if main.relation and not main.identity and before.kind == "scan" and not self.needed(before.alias) and not self.needed(alias):
+            # The edges have both ends: no vertex table is read
+            df = self.edge(main).withColumnsRenamed({"_s": f"{main.src}__id", "_d": f"{main.dst}__id"})
+            return reduce(self.closed, plan.links[1:], df)
+        df = self.lowered(before)
         if main.identity or not main.relation:
             df = df.join(self.vertex(alias), self.condition(main))
         else:

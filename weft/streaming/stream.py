@@ -47,7 +47,7 @@ class Stream:
     unfold = flat_map
 
     def filter(self, condition: Expr) -> Stream:
-        return self._of(self.df.where(F.coalesce(_col(condition), F.lit(False))))
+        return self._of(self.df.where(_col(condition)))
 
     def branch(self, condition: Expr) -> tuple[Stream, Stream]:
         """Rows for which the condition holds, and the others (also where it is NULL)."""
