@@ -4,12 +4,14 @@
    odd sketch: a bitmap of the samples' parities. Documents with equal sets are one node from here on.
 2. Nodes that share a band hash are candidates. The samples of two sets differ in a share of 1 - similarity, and the XOR of
    their sketches has a population count that grows with that number; pairs with too high a count are dropped. The limit
-   leaves room for more than six standard deviations below the similarity asked for.
+   is `DEVIATIONS` standard deviations below the similarity asked for. A second odd sketch folds the whole sets: the
+   population count of its XOR is never more than the sets' difference, so it drops no pair that is similar enough.
 3. What is left is confirmed on the sets of the whole texts.
 
-No bucket is expanded into all its pairs. First, each member meets two pivots of its bucket, and confirmed links give components.
-Only in buckets that still have several components, members outside the largest one meet those of other components, through the sketch
-condition of the join. Every pair that shares a bucket is therefore joined by a path of links, or has been tested: no link is lost.
+No bucket is expanded into all its pairs. First, each member meets two pivots of its bucket: the member that shares most places
+in buckets, which is the middle of its copies if there is one, and one at random. Confirmed links give components. Only in buckets that still have several components, members
+outside the largest one meet those of other components, and the condition of the join holds both sketches, so what comes out of it is about as
+much as there are links. Every pair that shares a bucket is therefore joined by a path of links, or has been tested: no link is lost.
 
 With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
 
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components, textstats
@@ -36,6 +39,8 @@ PERCENT = 80
 SHINGLE = 2
 SKETCH_WORDS = 8  # of 64 bits
 SAMPLES = BANDS * ROWS
+SET_WORDS = 32  # of 64 bits, for the sketch of whole sets
+DEVIATIONS = 5.0
 IDS_SENT = 2_000_000
 
 _rng = np.random.default_rng(11)
@@ -84,13 +89,25 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def sketch_limit(percent: int = PERCENT, deviations: float = 6.5) -> int:
-    """Population count beyond which the XOR of two sketches rules the similarity out."""
-    share = 1 - percent / 100
-    differing = SAMPLES * share + deviations * np.sqrt(SAMPLES * share * (1 - share))
-    size = 64 * SKETCH_WORDS
-    mean = size / 2 * (1 - np.exp(-4 * min(differing, SAMPLES) / size))
-    return int(np.ceil(mean + 3 * np.sqrt(size) / 2))
+def set_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the places of all shingles; the XOR of two has at most as many ones as shingles that only one set has."""
+    places = (found * _ONE) >> np.uint64(64 - 11)
+    bits = np.bincount(places.astype(np.int64), minlength=64 * SET_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def sketch_limit(percent: int = PERCENT, deviations: float = DEVIATIONS) -> int:
+    """Population count beyond which the XOR of two MinHash sketches rules the similarity out.
+
+    With D differing samples 2D places are flipped at random in a bitmap of m bits: m / 2 (1 - exp(-4 D / m)) ones are expected; D is binomial, and the
+    places' own variance is at most m / 4 (1 - exp(-8 D / m)).
+    """
+    share, m = 1 - percent / 100, 64 * SKETCH_WORDS
+    differing = SAMPLES * share
+    mean = m / 2 * (1 - np.exp(-4 * differing / m))
+    sampling = SAMPLES * share * (1 - share) * (2 * np.exp(-4 * differing / m)) ** 2
+    places = m / 4 * (1 - np.exp(-8 * differing / m))
+    return int(np.ceil(mean + deviations * np.sqrt(sampling + places)))
 
 
 def key_of(found: np.ndarray) -> bytes | None:
@@ -102,7 +119,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            keys, sizes, bands, sketches = [], [], [], []
+            keys, sizes, bands, sketches, wholes = [], [], [], [], []
             for value in part.column(1):
                 found = shingles(value.as_py())
                 key = key_of(found)
@@ -111,16 +128,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is None or key in seen:
                     bands.append(None)
                     sketches.append(None)
+                    wholes.append(None)
                 else:
                     seen.add(key)
                     samples = minhashes(found)
                     bands.append(band_hashes(samples))
                     sketches.append(odd_sketch(samples))
+                    wholes.append(set_sketch(found))
             n = part.num_rows
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(range(uid, uid + n), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)],
-                ["doc_id", "uid", "key", "n_shingles", "bands", "sketch"],
+                [part.column(0), pa.array(range(uid, uid + n), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs), pa.array(wholes, longs)],
+                ["doc_id", "uid", "key", "n_shingles", "bands", "sketch", "whole"],
             )
             uid += n
 
@@ -159,10 +178,15 @@ def _confirm(percent: int):
     return run
 
 
-def _far(limit: int):
-    """XOR of sketches a_s and b_s within the limit."""
-    total = sum(F.bit_count(F.get("a_s", F.lit(i)).bitwiseXOR(F.get("b_s", F.lit(i)))) for i in range(SKETCH_WORDS))
-    return total <= limit
+def _sketched(side: str) -> list[Column]:
+    """The sketches' words as plain columns: conditions over them compile to straight code."""
+    parts = [("s", "sketch", SKETCH_WORDS), ("w", "whole", SET_WORDS)]
+    return [F.coalesce(F.get(array, F.lit(i)), F.lit(0)).alias(f"{side}_{x}{i}") for x, array, n in parts for i in range(n)]
+
+
+def _xor(kind: str, words: int) -> Column:
+    """Ones in the XOR of both sides' sketches."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"a_{kind}{i}").bitwiseXOR(F.col(f"b_{kind}{i}"))) for i in range(words)])
 
 
 class _Search:
@@ -171,25 +195,31 @@ class _Search:
     def __init__(self, docs: DataFrame, percent: int):
         self.docs, self.percent = docs, percent
         self.limit = sketch_limit(percent)
-        schema = "doc_id long, uid long, key binary, n_shingles long, bands array<long>, sketch array<long>"
+        schema = "doc_id long, uid long, key binary, n_shingles long, bands array<long>, sketch array<long>, whole array<long>"
         self.signed = common.written(docs.mapInArrow(_sign, schema), "near-signed")
-        first = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands", True).alias("bands"), F.any_value("sketch", True).alias("sketch"))
+        first = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands", True).alias("bands"), F.any_value("sketch", True).alias("sketch"), F.any_value("whole", True).alias("whole"))
         self.nodes = common.written(first.where("key is not null").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     def members(self) -> DataFrame:
-        """node of each bucket with two nodes or more, with two pivots of the bucket."""
-        rows = self.nodes.select("node", F.explode("bands").alias("h"))
-        pivot = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node"))["node"]
-        shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), pivot(1).alias("p1"), pivot(2).alias("p2")).where("size > 1").drop("size")
-        return common.written(rows.join(shared, "h"), "near-members")
+        """node and band (from 0) of each bucket with two nodes or more, with two pivots of the bucket."""
+        rows = self.nodes.select("node", F.posexplode("bands").alias("band", "h"))
+        sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = common.written(rows.join(sizes, "h"), "near-shared")
+        popular = common.written(shared.groupBy("node").agg(F.sum("size").alias("places")), "near-popular")
+        ranked = shared.join(popular, "node")
+        pivots = ranked.groupBy("h").agg(F.max(F.struct("places", "node"))["node"].alias("p1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("p2"))
+        return common.written(shared.drop("size").join(pivots, "h"), "near-members")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches do not rule out."""
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(self.sizes()).where(_far(self.limit)).select("a", "b")
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *_sketched(x))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(self.close()).select("a", "b")
 
-    def sizes(self):
-        return 100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")
+    def close(self) -> Column:
+        """What sizes and sketches leave possible. Similar sets differ in at most (100 - p) / (100 + p) of their sizes' sum."""
+        sizes = 100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")
+        difference = _xor("w", SET_WORDS) * (100 + self.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - self.percent)
+        return sizes & (_xor("s", SKETCH_WORDS) <= self.limit) & difference
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links among written pairs (a, b), by the sets of the whole texts."""
@@ -209,17 +239,19 @@ class _Search:
 
     def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of a bucket that are not yet in one component and that sizes and sketches do not rule out."""
-        joined = members.select("h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        joined = members.select("h", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         joined = common.written(joined, "near-rooted")
         sizes = joined.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
         mixed = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main")).where("roots > 1").select("h", "main")
         left = joined.join(mixed, "h")
-        full = common.written(left.join(self.nodes.select("node", "n", "sketch"), "node"), "near-mixed")
-        a = full.where("root != main").select("h", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("sketch").alias("a_s"))
-        b = full.select("h", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("sketch").alias("b_s"), "main")
-        # A pair of two members outside the main component is met twice; one of the two is left out.
+        full = common.written(left.join(self.nodes.select("node", "n", "bands", "sketch", "whole"), "node"), "near-mixed")
+        side = lambda x: [F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n"), F.col("bands").alias(f"{x}_bands"), *_sketched(x)]
+        a = full.where("root != main").select("h", "band", "main", *side("a"))
+        b = full.select(F.col("h").alias("b_h"), *side("b"))
+        # A pair of two members outside the main component is met twice, and any pair in each bucket that it shares: once is enough.
         once = (F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))
-        near = a.join(b, (a["h"] == b["h"]) & (F.col("a_root") != F.col("b_root")) & self.sizes() & _far(self.limit) & once)
+        first = ~F.arrays_overlap(F.slice("a_bands", F.lit(1), F.col("band")), F.slice("b_bands", F.lit(1), F.col("band")))
+        near = a.join(b, (F.col("h") == F.col("b_h")) & (F.col("a_root") != F.col("b_root")) & once & self.close() & first)
         return near.select("a", "b").distinct()
 
 
@@ -243,6 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The smallest id; a null id only where there is no other
     best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
     alone = F.col("label").isNull()
+    best = common.bounded(common.written(best, "near-best"))
     return rows.join(best, "label", "left").select(
         "doc_id",
         "n_shingles",
