@@ -12,7 +12,7 @@ from ..plans.job_planner import JoinPlanner
 from ..plans.lower import executed
 from ..plans.pattern import Pattern
 from ..plans.pattern_planner import PatternPlanner, query_graph
-from ..plans.planner import Link, Planner, QueryGraph, Vertex
+from ..plans.planner import Link, Planner, QueryGraph, Vertex, fixed_hops
 from ..sources.graph import order_graph
 from ..streaming.stream import Stream
 
@@ -447,6 +447,49 @@ def plan_interleaved(spark, sf_dir):
     return df.groupBy(F.col("x__id").alias("c"), F.col("ev__event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.min("n__name").alias("nation"))
 
 
+@query("""SELECT r_name AS region, min(c_name) AS least_customer, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey
+    JOIN customer ON c_custkey = o_custkey WHERE s_acctbal > 5000 AND o_orderstatus = 'P' GROUP BY r_name""")
+def plan_join_chain(spark, sf_dir):
+    graph = order_graph(spark, sf_dir)
+    vertices = {"r": Vertex("r", "Region"), "n": Vertex("n", "Nation"), "s": Vertex("s", "Supplier", selectivity=0.5, predicate="acctbal > 5000"), "o": Vertex("o", "Order", selectivity=0.03, predicate="status = 'P'"), "c": Vertex("c", "Customer")}
+    q = QueryGraph(vertices, [Link("n", "r", "partOf"), Link("s", "n", "supplierIn"), Link("o", "s", "suppliedBy"), Link("c", "o", "placed")])
+    chain = Pattern.of({0: "Customer", 1: "Order", 2: "Supplier", 3: "Nation", 4: "Region"}, [(0, 1, "placed"), (1, 2, "suppliedBy"), (2, 3, "supplierIn"), (3, 4, "partOf")])
+    planner = Planner(q, Catalogue.from_patterns(graph, [chain], 2))
+    df = executed(planner.left_deep(JoinPlanner(planner).order()), graph, q, {"r": ["name"], "c": ["name"]})
+    return df.groupBy(F.col("r__name").alias("region")).agg(F.min("c__name").alias("least_customer"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey AS c, count(*) AS n, max(p1.p_retailprice) AS most FROM customer JOIN orders a ON a.o_custkey = c_custkey JOIN orders b ON b.o_custkey = c_custkey AND b.o_orderkey > a.o_orderkey
+    JOIN lineitem x ON x.l_orderkey = a.o_orderkey JOIN part p1 ON p1.p_partkey = x.l_partkey JOIN lineitem y ON y.l_orderkey = b.o_orderkey JOIN part p2 ON p2.p_partkey = y.l_partkey
+    WHERE p1.p_size = 1 AND p2.p_size = 2 AND a.o_orderpriority = '1-URGENT' GROUP BY c_custkey""")
+def plan_two_stars(spark, sf_dir):
+    """Two orders of a customer, each with a star of its own: a bushy candidate."""
+    graph = order_graph(spark, sf_dir)
+    vertices = {"c": Vertex("c", "Customer"), "a": Vertex("a", "Order", selectivity=0.2, predicate="priority = '1-URGENT'"), "b": Vertex("b", "Order"), "p": Vertex("p", "Part", selectivity=0.02, predicate="size = 1"), "q": Vertex("q", "Part", selectivity=0.02, predicate="size = 2")}
+    q = QueryGraph(vertices, [Link("c", "a", "placed"), Link("c", "b", "placed"), Link("a", "p", "contains"), Link("b", "q", "contains")])
+    half = Pattern.of({0: "Customer", 1: "Order", 2: "Part"}, [(0, 1, "placed"), (1, 2, "contains")])
+    plan = Planner(q, Catalogue.from_patterns(graph, [half], 3)).best()
+    df = executed(plan, graph, q, {"p": ["retailprice"]}).where("b__id > a__id")
+    return df.groupBy(F.col("c__id").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max("p__retailprice").alias("most"))
+
+
+@query(f"""WITH k AS {KNOWS}, w AS (SELECT src AS a, dst AS b, 1 AS distance FROM k UNION ALL SELECT x.src, y.dst, 2 FROM k x JOIN k y ON y.src = x.dst)
+    SELECT a, distance, count(*) AS n FROM w JOIN orders ON o_custkey = b WHERE a <= 30 GROUP BY a, distance""")
+def plan_fixed_hops(spark, sf_dir):
+    """A variable-length edge of a pattern file: one fixed pattern per number of hops, planned and executed each, and their union."""
+    graph = order_graph(spark, sf_dir)
+    v = lambda tag, alias, label: {"tag_id": tag, "alias": alias, "label": label, "label_id": 0}
+    e = lambda i, name, s, d, lo, hi: {"edge_id": i, "alias": None, "type": name, "relation_id": i, "relation_label": name, "source_tag": s, "target_tag": d, "min_hops": lo, "max_hops": hi, "is_var_expand": lo != hi, "is_identity": False, "is_reversed": False}
+    data = {"query": "hops", "match": {"vertices": [v(0, "a", "Customer"), v(1, "b", "Customer"), v(2, "m", "Order")], "edges": [e(0, "knows", 0, 1, 1, 2), e(1, "placed", 1, 2, 1, 1)]}, "sql": {"vertices": [], "edges": []}, "alias_domains": {"a": "match", "b": "match", "m": "match"}}
+    path = Pattern.of({0: "Customer", 1: "Customer", 2: "Order"}, [(0, 1, "knows"), (1, 2, "placed")])
+    catalogue, parts = Catalogue.from_patterns(graph, [path], 2), []
+    for hops in (1, 2):
+        q = QueryGraph.from_json(fixed_hops(data, hops))
+        df = executed(Planner(q, catalogue).best(), graph, q).where("a__id <= 30")
+        parts.append(df.groupBy(F.col("a__id").alias("a")).agg(F.count(F.lit(1)).alias("n")).withColumn("distance", F.lit(hops)))
+    return parts[0].unionByName(parts[1])
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------
 
 
