@@ -8,7 +8,7 @@ import corpus_pipeline
 from weft.llm import common, line_rules, secrets
 from weft.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
-from .test_near_dedup import brute
+from test_near_dedup import brute
 
 DIR = "/root/testdata/sf0.001"
 
