@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weft.llm import common, exact_dedup, line_rules, near_dedup, packing, secrets
 from weft.llm.queries import tokenizer_file
 
+NEAR_WORDS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the labelled lines reject go."""
@@ -21,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    return near_dedup.keep_one(docs)
+    """Of each component of near-duplicates, by runs of five words, the document with the smallest id stays."""
+    return near_dedup.keep_one(docs, shingle=NEAR_WORDS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

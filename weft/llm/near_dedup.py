@@ -13,7 +13,7 @@ in buckets, which is the middle of its copies if there is one, and one at random
 outside the largest one meet those of other components, and the condition of the join holds both sketches, so what comes out of it is about as
 much as there are links. Every pair that shares a bucket is therefore joined by a path of links, or has been tested: no link is lost.
 
-With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
+Sets are of runs of `shingle` words: `SHINGLE` for op7, five for the pipeline's stage. With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
 
 Edge cases: a null text counts as empty; an empty set links to nothing. A null doc_id is ignored when the smallest id is chosen, and is a component's
 id only where all ids are null. Rows that repeat an id belong to one component if their sets do; of equal smallest ids one row is
@@ -114,37 +114,40 @@ def key_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid, seen = TaskContext.get().partitionId() << 33, set()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            keys, sizes, bands, sketches, wholes = [], [], [], [], []
-            for value in part.column(1):
-                found = shingles(value.as_py())
-                key = key_of(found)
-                keys.append(key)
-                sizes.append(len(found))
-                if key is None or key in seen:
-                    bands.append(None)
-                    sketches.append(None)
-                    wholes.append(None)
-                else:
-                    seen.add(key)
-                    samples = minhashes(found)
-                    bands.append(band_hashes(samples))
-                    sketches.append(odd_sketch(samples))
-                    wholes.append(set_sketch(found))
-            n = part.num_rows
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(range(uid, uid + n), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs), pa.array(wholes, longs)],
-                ["doc_id", "uid", "key", "n_shingles", "bands", "sketch", "whole"],
-            )
-            uid += n
-
-
-def _keyed(wanted: np.ndarray | None):
+def _sign(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid, seen = TaskContext.get().partitionId() << 33, set()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys, sizes, bands, sketches, wholes = [], [], [], [], []
+                for value in part.column(1):
+                    found = shingles(value.as_py(), size)
+                    key = key_of(found)
+                    keys.append(key)
+                    sizes.append(len(found))
+                    if key is None or key in seen:
+                        bands.append(None)
+                        sketches.append(None)
+                        wholes.append(None)
+                    else:
+                        seen.add(key)
+                        samples = minhashes(found)
+                        bands.append(band_hashes(samples))
+                        sketches.append(odd_sketch(samples))
+                        wholes.append(set_sketch(found))
+                n = part.num_rows
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(range(uid, uid + n), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs), pa.array(wholes, longs)],
+                    ["doc_id", "uid", "key", "n_shingles", "bands", "sketch", "whole"],
+                )
+                uid += n
+
+    return run
+
+
+def _keyed(wanted: np.ndarray | None, size: int):
     """Key and text; of rows with a wanted id (or none) if the ids are listed."""
     known = None if wanted is None else frozenset(wanted.tolist()) | {None}
 
@@ -154,12 +157,12 @@ def _keyed(wanted: np.ndarray | None):
                 batch = batch.filter(pa.array([x in known for x in batch.column(0).to_pylist()], pa.bool_()))
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(shingles(x)) for x in part.column(1).to_pylist()], pa.binary()), part.column(1)], ["key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(shingles(x, size)) for x in part.column(1).to_pylist()], pa.binary()), part.column(1)], ["key", "text"])
 
     return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
@@ -168,8 +171,8 @@ def _confirm(percent: int):
             for i in range(batch.num_rows):
                 node = b[i].as_py()
                 if last[0] != node:
-                    last = node, shingles(batch.column(3)[i].as_py())
-                mine, theirs = shingles(batch.column(2)[i].as_py()), last[1]
+                    last = node, shingles(batch.column(3)[i].as_py(), size)
+                mine, theirs = shingles(batch.column(2)[i].as_py(), size), last[1]
                 both = len(np.intersect1d(mine, theirs, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(theirs) - both))
             mask = pa.array(keep, pa.bool_())
@@ -192,11 +195,11 @@ def _xor(kind: str, words: int) -> Column:
 class _Search:
     """Tables of one run; see `near_dedup`."""
 
-    def __init__(self, docs: DataFrame, percent: int):
-        self.docs, self.percent = docs, percent
+    def __init__(self, docs: DataFrame, percent: int, shingle: int):
+        self.docs, self.percent, self.shingle = docs, percent, shingle
         self.limit = sketch_limit(percent)
         schema = "doc_id long, uid long, key binary, n_shingles long, bands array<long>, sketch array<long>, whole array<long>"
-        self.signed = common.written(docs.mapInArrow(_sign, schema), "near-signed")
+        self.signed = common.written(docs.mapInArrow(_sign(shingle), schema), "near-signed")
         first = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands", True).alias("bands"), F.any_value("sketch", True).alias("sketch"), F.any_value("whole", True).alias("whole"))
         self.nodes = common.written(first.where("key is not null").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
@@ -230,10 +233,10 @@ class _Search:
             source, ids = self.docs, used.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy()
         else:
             source, ids = self.docs.join(used.select("doc_id").distinct(), self.docs["doc_id"].eqNullSafe(used["doc_id"]), "left_semi"), None
-        texts = source.mapInArrow(_keyed(ids), "key binary, text string").join(used.select("key", "node"), "key")
+        texts = source.mapInArrow(_keyed(ids, self.shingle), "key binary, text string").join(used.select("key", "node"), "key")
         texts = common.written(texts.groupBy("node").agg(F.any_value("text").alias("text")), "near-texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        out = common.written(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(self.percent), "u long, v long"), "near-links")
+        out = common.written(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(self.percent, self.shingle), "u long, v long"), "near-links")
         common.dropped(texts)
         return out
 
@@ -255,10 +258,10 @@ class _Search:
         return near.select("a", "b").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. See the module for method and edge cases."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    run = _Search(docs, percent)
+    run = _Search(docs, percent, shingle)
     members = run.members()
     pivots = members.select(F.col("node").alias("a"), F.col("p1").alias("b")).unionAll(members.select("node", "p2")).where("a != b").distinct()
     tested = common.written(run.near(pivots), "near-pivots")
@@ -284,11 +287,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` of which one document of each component stays, with the columns of `docs`.
 
     Ids of which no row is kept are removed; of rows that repeat an id, all stay if one does.
     """
-    found = near_dedup(docs, id_col, text_col, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_weft_id"))
+    found = near_dedup(docs, id_col, text_col, percent, shingle).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_weft_id"))
     gone = common.bounded(common.written(found, "near-gone"))
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_weft_id"]), "left_anti")
