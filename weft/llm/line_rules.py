@@ -17,6 +17,7 @@ empty result; other columns are ignored by `judged` and kept by `kept_rows`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,17 @@ REPEAT_PERCENT = 30
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
+UPPER = bytes(range(ord("A"), ord("Z") + 1))
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
+def capitals(line: str) -> int:
+    """Capital letters of the whole line, as str.isupper has them."""
+    plain = line.encode("ascii", "ignore")
+    n = len(plain) - len(plain.translate(None, UPPER))
+    return n if len(plain) == len(line) else n + sum(map(str.isupper, BEYOND_ASCII.findall(line)))
+
+
 def features(lines: list[str], again: list[bool]) -> np.ndarray:
     """A row of features, each from 0 to 1, per line."""
     rows = []
@@ -47,7 +59,7 @@ def features(lines: list[str], again: list[bool]) -> np.ndarray:
             continue
         words = line.split()
         k = len(words)
-        upper = sum(c.isupper() for c in line[:400]) / min(n, 400)
+        upper = capitals(line) / n
         pipes = line.count("|")
         signs = textstats.symbols(line) - pipes
         rows.append((
