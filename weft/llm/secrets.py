@@ -5,6 +5,9 @@ alphabets. It infers the encoding, and tests whether the run may be random in it
 a runs test about the middle of the alphabet, and the serial correlation of neighbouring symbols. Fisher's method combines
 the three. Ordinary words fail these tests, keys pass them.
 
+A run that no alphabet holds, as with a name glued to its value by '=' or with '/' beside '_', is cut where base64, base64url or letters and digits
+alone end; every part of 20 or more symbols is tested, and of random parts within each other the longest is the span.
+
 Which runs fail is decided for all documents together. Within each class of encoding and length the Benjamini-Hochberg rule
 rejects randomness at rate `FDR`; long runs and short ones, for which the tests have different power, so have their own
 thresholds. What is not rejected is a span of kind `random`, unless it meets a base span. Thresholds come from counts over
@@ -35,6 +38,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PARTS = tuple(re.compile(f"[A-Za-z0-9{more}]{{20,}}") for more in ("+/", "_-", ""))
 WORDS = re.compile(rb"passw|secret|token|api_?key")
 FDR = 0.01
 LENGTHS = (24, 28, 32, 40, 48, 64, 96, 128, 256)
@@ -162,16 +166,24 @@ def p_bin(p: float) -> int:
     return max(0, min(P_BINS - 1, int((math.log10(max(p, 1e-300)) / P_DECADES + 1) * P_BINS)))
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """(start, end, symbols to test): the run without its padding, or its parts if no alphabet holds it. Spans have the padding at the run's end."""
+    run = text[start:end].rstrip("=")
+    if len(run) < 20 or encoding(run):
+        return [(start, end, run)] if len(run) >= 20 else []
+    stop = start + len(run)
+    found = {m.span() for own in PARTS for m in own.finditer(text, start, stop)}
+    return [(s, end if e == stop else e, text[s:e]) for s, e in sorted(found)]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs that no base span meets, with class (encoding and length) and bin of p."""
+    """Runs, or their parts, that no base span meets, with class (encoding and length) and bin of p."""
     found = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        run = m[0].rstrip("=")
-        name = encoding(run) if len(run) >= 20 else None
-        if name:
+        for start, end, run in parts(text, *m.span()):
+            if any(s < end and start < e for s, _, e in base):
+                continue
+            name = encoding(run)
             found.append({"start": start, "end": end, "class": f"{name}:{bisect(LENGTHS, len(run))}", "bin": p_bin(random_p(run, name))})
     return found
 
@@ -225,6 +237,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limits = learned(scan, rate)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else None
     runs = F.filter("runs", lambda r: r["bin"] > limit[r["class"]]) if limits else F.slice("runs", 1, 0)
+    # A random part within another random part of the same run is no span of its own.
+    runs = F.filter(runs, lambda r: ~F.exists(runs, lambda x: (x["start"] <= r["start"]) & (r["end"] <= x["end"]) & (x["end"] - x["start"] > r["end"] - r["start"])))
     extra = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
     return scan.select("doc_id", "base", F.sort_array(F.concat("base", extra)).alias("found"))
 
