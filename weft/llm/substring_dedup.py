@@ -6,8 +6,9 @@ the next ends. Neighbouring chunks that together have `SPAN` bytes or more form
 a span whose digest was seen before repeats an earlier one. Overlapping repeated spans of a document are joined; what has `LEAST`
 bytes or more is a repeated passage, of which the first copy (by id, then row, then place) stays.
 
-A passage loses on average 40 bytes at its start and 24 at its end before chunks agree, so passages of 50 words (250 bytes and more) are found
-with a chance of about 99 %, longer ones nearly always; the ends of a passage stay in the text.
+A passage loses on average 40 bytes at its start and 24 at its end before chunks agree, and what is left is held against `LEAST`. So not every
+passage of over 50 words is found: by length, of 1,000 random ones each, 0 % at 112 bytes, 19.8 % at 150, 56.5 % at 180, 78.6 % at 200, 90.9 % at
+228, 96.5 % at 257, 98.6 % at 291, and all at 331 and more. The ends of a passage stay in the text.
 
 Scale: the first pass counts digests, summed per partition before the shuffle, so common passages cost a row a partition. A bitmap of
 repeated digests of a fixed size then lets the second pass drop most unique spans where they are made; exact digests of 128 bits decide. A
