@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from weft.llm import line_rules
 
 UPPER = 8
@@ -18,3 +21,15 @@ def test_capitals_are_those_of_isupper():
     for _ in range(300):
         line = "".join(rng.choice("aZ 9É漢ǅİßΩ\U0001d400Ⓐ") for _ in range(rng.randint(0, 900)))
         assert line_rules.capitals(line) == sum(c.isupper() for c in line)
+
+
+def test_training_lines_come_from_the_whole_text():
+    """Footers after the first 48 lines train too, and count as repeated by what stands anywhere before them."""
+    lines = [f"Line {k} has words of its own." for k in range(300)] + ["HOME | NEXT | MENU"] * 300
+    at = line_rules.sampled(lines)
+    assert len(at) == line_rules.TRAIN_LINES and at == sorted(set(at)) and sum(k >= 300 for k in at) > 10
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)]), pa.array([0], pa.int32())], ["text", "quality"])
+    (out,) = line_rules._line_rows(iter([batch]))
+    rows = np.array(out.column(0)[0].as_py()).reshape(-1, line_rules.N_FEATURES)
+    assert rows[:, 2].tolist() == [float(k > 300) for k in at]
+    assert line_rules.sampled(lines[:20]) == list(range(20))

@@ -5,8 +5,8 @@ best labels, and a document is kept if at least `CONTENT_SHARE` of its words sta
 (at least 20 words; at most 30 % of words in repeated 8-word windows).
 
 The field is trained here from labelled documents: lines of documents of quality 0 count as boilerplate and those of quality 1 as
-content. At most `TRAIN_DOCS` documents of each quality, those with the smallest hash of their id, and their first
-`TRAIN_LINES` lines are used; what reaches the driver is bounded by these. Decoding uses whole texts.
+content. At most `TRAIN_DOCS` documents of each quality, those with the smallest hash of their id, are used, and of each the
+`TRAIN_LINES` lines with the smallest hashes in its whole text, in their order; a line counts as repeated if it is so in the whole text. What reaches the driver is bounded by these. Decoding uses whole texts.
 
 Scale: one pass over documents without a shuffle; the model is a few dozen numbers.
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,12 +143,21 @@ def trained(docs: list[tuple[np.ndarray, int]], steps: int = STEPS, ridge: float
     return Field(w, t)
 
 
+def sampled(lines: list[str]) -> list[int]:
+    """Places, in order, of at most `TRAIN_LINES` lines, by a hash of line and place."""
+    if len(lines) <= TRAIN_LINES:
+        return list(range(len(lines)))
+    hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=k) for k, x in enumerate(lines)]
+    return sorted(sorted(range(len(lines)), key=hashes.__getitem__)[:TRAIN_LINES])
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for value in batch.column(0):
-            lines = (value.as_py() or "").split("\n")[:TRAIN_LINES]
-            out.append(features(lines, textstats.repeated_lines(lines)).ravel().tolist())
+            lines = (value.as_py() or "").split("\n")
+            again, at = textstats.repeated_lines(lines), sampled(lines)
+            out.append(features([lines[k] for k in at], [again[k] for k in at]).ravel().tolist())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), batch.column(1)], ["rows", "quality"])
 
 
