@@ -1,4 +1,4 @@
-"""Each registered query against DuckDB, on the smallest tables."""
+"""Each registered query against DuckDB."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from weft.workload import operators, social
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 QUERIES, SQL = operators.QUERIES | social.QUERIES, operators.SQL | social.SQL
 
 

@@ -172,8 +172,7 @@ class Compiler:
             whole = all(isinstance(t, WHOLE) for t in self.types(left, right))
             if kind == "/":
                 return self.divided(left, F.when(right != F.lit(0), right), whole)
-            power = F.pow(left, right)
-            return power.cast("long") if whole and args[1].kind == "lit" and args[1].value >= 0 else power
+            return self.power(left, right, args[1], whole)
         simple: dict[str, Callable[[], Column]] = {
             "+": lambda: left + right,
             "-": lambda: left - right,
@@ -203,6 +202,22 @@ class Compiler:
         rest = left % right
         return ((left - rest).cast("decimal(38,0)") / right.cast("decimal(38,0)")).cast("long")
 
+    def power(self, left: Column, right: Column, node: Node, whole: bool) -> Column:
+        """Power; of whole numbers exact, and NULL beyond 64 bits. A negative literal exponent gives a double, a negative one from a column NULL."""
+        if not whole or node.kind == "neg":
+            return F.pow(left, right)
+        base = left.cast("long")
+        # Beyond 63 only the bases -1, 0 and 1 stay within 64 bits, and they repeat with period two
+        small = F.abs(base) <= 1
+        if node.kind == "lit":
+            n, out = node.value, F.lit(1).cast("long")
+            for _ in range(n if n <= 63 else 62 + n % 2):
+                out = F.try_multiply(out, base)
+            return out if n <= 63 else F.when(small, out)
+        turns = F.when(right > 63, F.lit(62) + right % 2).otherwise(right).cast("int")
+        product = F.aggregate(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))), F.lit(1).cast("long"), lambda acc, _: F.try_multiply(acc, base))
+        return F.when(right == 0, F.lit(1).cast("long")).when((right > 0) & ((right <= 63) | small), product)
+
     def listed(self, args: tuple[Node, ...]) -> Column:
         columns = [self.value(n) for n in args]
         if len({str(t) for t in self.types(*columns)}) > 1:

@@ -1,11 +1,12 @@
 """Iteration: loops on the driver over DataFrames whose lineage is cut at every turn.
 
-A turn's result is checkpointed to the shared folder (`spark.checkpoint.dir`; a temporary one is set where there is none), so a lost executor costs
-tasks and not the loop.
+A turn's result is checkpointed to the shared folder (`spark.checkpoint.dir`; on a local master without one a temporary folder is set), so a lost
+executor costs tasks and not the loop.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -19,7 +20,10 @@ from ..sources.graph import PropertyGraph
 def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="weft-"))
     return df.checkpoint()
 
 

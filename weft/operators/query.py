@@ -165,7 +165,7 @@ class GraphQuery:
         tags, keep = dict(self.tags), []
         props = [c for c in rows.columns if not c.startswith("_")]
         for edge in ([new] if opt == "edge" else []) + ([edge_alias] if edge_alias else []):
-            keep += [F.col(c).alias(f"{edge}__{c}") for c in props] + [F.col("_from").alias(f"{edge}__from")]
+            keep += [F.col(c).alias(f"{edge}__{c}") for c in props] + [F.col("_from").alias(f"{edge}__from"), F.col("_from_label").alias(f"{edge}__from_label")]
             tags[edge] = ("edge", tuple(used))
         if opt == "vertex":
             keep += [F.col("_to").alias(f"{new}__id"), F.col("_to_label").alias(f"{new}__label")]
@@ -187,7 +187,9 @@ class GraphQuery:
         if opt == "both":
             df = self.df.withColumn("_v", F.explode(F.array(src, dst)))
         elif opt == "other":
-            df = self.df.withColumn("_v", F.when(F.col(f"{name}__from") == F.col(f"{name}__src"), dst).otherwise(src))
+            # Ids are unique in a label only
+            at_start = (F.col(f"{name}__from") == F.col(f"{name}__src")) & (F.col(f"{name}__from_label") == F.col(f"{name}__src_label"))
+            df = self.df.withColumn("_v", F.when(at_start, dst).otherwise(src))
         else:
             df = self.df.withColumn("_v", src if opt == "start" else dst)
         labels = {"start": starts, "end": ends}.get(opt, starts + ends)
@@ -201,8 +203,9 @@ class GraphQuery:
             raise QueryError("hops need 0 <= lo < hi")
         name, key, label = self._start(start)
         new = self._fresh(alias)
-        ids = result == "all_v" or path == "simple"
-        now = self.df.withColumns({f"{new}__end": key, f"{new}__label": label, f"{new}__len": F.lit(0), **({f"{new}__path": F.array(key)} if ids else {})})
+        ids, simple = result == "all_v", path == "simple"
+        vertex = lambda label, i: F.struct(label.alias("label"), i.alias("id"))
+        now = self.df.withColumns({f"{new}__end": key, f"{new}__label": label, f"{new}__len": F.lit(0), **({f"{new}__path": F.array(key)} if ids else {}), **({f"{new}__seen": F.array(vertex(label, key))} if simple else {})})
         labels, levels, reached = self.tags[name][1], [], set()
         for hop in range(hi):
             if hop >= lo:
@@ -217,15 +220,24 @@ class GraphQuery:
                 break  # no relation goes on from here
             right = rows.select("_from", "_from_label", "_to", "_to_label")
             on = (F.col(f"{new}__end") == F.col("_from")) & (F.col(f"{new}__label") == F.col("_from_label"))
-            if path == "simple":
-                on = on & ~F.array_contains(f"{new}__path", F.col("_to"))
-            now = now.join(right, on).withColumns({f"{new}__end": F.col("_to"), f"{new}__label": F.col("_to_label"), f"{new}__len": F.lit(hop + 1), **({f"{new}__path": F.array_append(f"{new}__path", F.col("_to"))} if ids else {})})
+            to = vertex(F.col("_to_label"), F.col("_to"))
+            if simple:
+                on = on & ~F.array_contains(f"{new}__seen", to)
+            now = now.join(right, on).withColumns(
+                {
+                    f"{new}__end": F.col("_to"),
+                    f"{new}__label": F.col("_to_label"),
+                    f"{new}__len": F.lit(hop + 1),
+                    **({f"{new}__path": F.array_append(f"{new}__path", F.col("_to"))} if ids else {}),
+                    **({f"{new}__seen": F.array_append(f"{new}__seen", to)} if simple else {}),
+                }
+            )
             now = now.drop("_from", "_from_label", "_to", "_to_label")
         if not levels:
             levels, reached = [now.where(F.lit(False))], set(labels)
         df = reduce(DataFrame.unionByName, levels)
-        if result == "end_v" and ids:
-            df = df.drop(f"{new}__path")
+        if simple:
+            df = df.drop(f"{new}__seen")
         return self._with(df, self.tags | {new: ("path", tuple(sorted(reached)))}, new)
 
     def intersect(self, starts: list[tuple], alias: str | None = None, distinct_edges: bool = False) -> GraphQuery:

@@ -11,18 +11,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import Compiler
 from ..sources.graph import PropertyGraph
 from .pattern import PatternError
 from .planner import Link, Plan, QueryGraph
 
 
 class Lowering:
-    def __init__(self, graph: PropertyGraph, query: QueryGraph, columns: dict[str, list[str]] | None = None, tables: dict[str, DataFrame] | None = None, distinct: bool = False):
-        """`columns`: what is wanted of each alias (vertices: properties; named edges: their columns). `tables` has plain tables by name.
+    def __init__(self, graph: PropertyGraph, query: QueryGraph, columns: dict[str, list[str]] | None = None, tables: dict[str, DataFrame] | None = None, distinct: bool = False, filters: dict[str, str] | None = None, conditions: list[tuple[str, str, Column]] | None = None):
+        """`columns`: what is wanted of each alias (vertices: properties; named edges: their columns). `tables` has plain tables by name. `filters` are infix predicates on
+        single vertices, which go to their scans; `conditions` hold between two aliases and are applied as soon as both are bound.
 
         A vertex table is joined only for its predicate or columns: edges already imply labels.
         """
         self.graph, self.query, self.columns, self.tables, self.distinct = graph, query, columns or {}, tables or {}, distinct
+        self.filters, self.conditions = filters or {}, conditions or []
 
     def vertex(self, alias: str) -> DataFrame:
         v = self.query.vertices[alias]
@@ -33,12 +36,14 @@ class Lowering:
         else:
             df = self.graph.vertices(v.label, predicate=None)
             df = df.where(F.expr(v.predicate)) if v.predicate else df
+            if alias in self.filters:
+                df = df.where(Compiler(df, lambda _, prop: F.col((prop or "id").lstrip("~"))).predicate(self.filters[alias]))
             wanted = ["id", *[c for c in self.columns.get(alias, []) if c != "id"]]
         return df.select(*[F.col(c).alias(f"{alias}__{c}") for c in wanted])
 
     def needed(self, alias: str) -> bool:
         v = self.query.vertices[alias]
-        return v.label is None or bool(v.predicate) or bool([c for c in self.columns.get(alias, []) if c != "id"])
+        return v.label is None or bool(v.predicate) or alias in self.filters or bool([c for c in self.columns.get(alias, []) if c != "id"])
 
     def edge(self, link: Link) -> DataFrame:
         """_s, _d and the named columns of a relation's edges."""
@@ -63,6 +68,13 @@ class Lowering:
         return out.drop("_s", "_d")
 
     def lowered(self, plan: Plan) -> DataFrame:
+        df = self.bindings(plan)
+        for a, b, condition in self.conditions:
+            if {a, b} <= plan.covered and not any({a, b} <= p.covered for p in plan.inputs):
+                df = df.where(condition)
+        return df
+
+    def bindings(self, plan: Plan) -> DataFrame:
         if plan.kind in ("scan", "get"):
             return self.vertex(plan.alias)
         if plan.kind == "merge":
@@ -107,8 +119,8 @@ class Lowering:
         return reduce(self.closed, rest, out)
 
 
-def executed(plan: Plan, graph: PropertyGraph, query: QueryGraph, columns: dict[str, list[str]] | None = None, tables: dict[str, DataFrame] | None = None, distinct: bool = False) -> DataFrame:
+def executed(plan: Plan, graph: PropertyGraph, query: QueryGraph, columns: dict[str, list[str]] | None = None, tables: dict[str, DataFrame] | None = None, distinct: bool = False, **options) -> DataFrame:
     """All bindings of the query graph by the plan."""
     if plan.covered != frozenset(query.vertices):
         raise PatternError("the plan does not cover the query")
-    return Lowering(graph, query, columns, tables, distinct).lowered(plan)
+    return Lowering(graph, query, columns, tables, distinct, **options).lowered(plan)

@@ -1,12 +1,20 @@
-"""MATCH: sentences to bindings."""
+"""MATCH: sentences to bindings.
+
+Predicates on one vertex go to its scan. A pattern with symmetries is bound once per orbit: only bindings that are the least, in the order of ids, of their images are
+joined, and the images are made from them at the end, without another join. A triangle is so found once and not six times.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import parse, variables
 from .catalogue import Catalogue
 from .lower import executed
-from .pattern import PatternError
+from .pattern import Pattern, PatternError
 from .pattern_planner import heuristic_order
 from .planner import Link, Plan, Planner, QueryGraph, Vertex
 
@@ -22,6 +30,40 @@ def ordered_plan(query: QueryGraph, order: list[str]) -> Plan:
     return plan
 
 
+def symmetries(label: dict[str, str], inner: list[tuple[str, str, str]], predicates: dict[str, str], symmetric: frozenset[str]) -> list[dict[str, str]]:
+    """Renamings of the bound vertices that leave pattern and predicates as they are, the identity first."""
+    names = list(label)
+    place = {n: i for i, n in enumerate(names)}
+    # A vertex with a predicate has no equals but itself
+    kinds = {place[n]: label[n] if n not in predicates else f"{label[n]} {n}" for n in names}
+    found = Pattern.of(kinds, [(place[s], place[e], r) for s, r, e in inner]).automorphisms(symmetric)
+    return [{names[t]: names[u] for t, u in x.items()} for x in found]
+
+
+def least(group: list[dict[str, str]], names: list[str]) -> tuple[list[str], list[tuple[str, str, Column]]]:
+    """An order of the names, and the conditions between two of them that the least binding of an orbit fulfils."""
+    order, conditions, fixing = [], [], group
+    while len(order) < len(names):
+        orbit = {n: {g[n] for g in fixing} for n in names if n not in order}
+        first = max(orbit, key=lambda n: len(orbit[n]))
+        conditions += [(first, x, F.col(f"{first}__id") <= F.col(f"{x}__id")) for x in sorted(orbit[first] - {first})]
+        order.append(first)
+        fixing = [g for g in fixing if g[first] == first]
+    return order, conditions
+
+
+def unfolded(df: DataFrame, group: list[dict[str, str]], order: list[str]) -> DataFrame:
+    """All distinct images of the bindings that are the least of theirs."""
+    image = lambda g: F.struct(*[F.col(f"{g[n]}__id").alias(f"{n}__id") for n in order])
+    images = [image(g) for g in group]
+    # Two images are the same where a binding has a vertex twice
+    for other in images[1:]:
+        df = df.where(images[0] <= other)
+    new = [images[0], *[F.when(~reduce(lambda a, b: a | b, [x == y for y in images[:k]]), x) for k, x in enumerate(images) if k]]
+    rows = df.select(F.explode(F.array(*new)).alias("_b")).where("_b IS NOT NULL")
+    return rows.select(*[F.col(f"_b.{n}__id").alias(f"{n}__id") for n in order])
+
+
 def matched(outer, sentences, labels, predicates, catalogue: Catalogue | None):
     from ..operators.query import GraphQuery, QueryError
 
@@ -50,14 +92,22 @@ def matched(outer, sentences, labels, predicates, catalogue: Catalogue | None):
         raise PatternError("the pattern may be disconnected")
     ranked = QueryGraph({n: Vertex(n, label[n], predicate=predicates.get(n)) for n in bound}, query.links)
     plan = Planner(query, catalogue).best() if catalogue else ordered_plan(query, heuristic_order(ranked))
-    df = executed(plan, graph, query)
+    properties = lambda n: set(graph.columns_of([label[n]]))
+    own = lambda n: all(tag in (None, n) and (prop or "~id").lstrip("~") in properties(n) for tag, prop in variables(parse(predicates[n])))
+    filters = {n: predicates[n] for n in bound if n in predicates and own(n)}
+    # Without a cycle, joining all bindings costs no more than making their images
+    cyclic = len(query.links) >= len(bound)
+    group = symmetries({n: label[n] for n in bound}, inner, predicates, graph.symmetric) if cyclic else []
+    order, conditions = least(group, bound) if len(group) > 1 else (bound, [])
+    df = executed(plan, graph, query, filters=filters, conditions=conditions)
+    df = unfolded(df, group, order) if len(group) > 1 else df
     df = df.withColumns({f"{n}__label": F.lit(label[n]) for n in bound})
     out = GraphQuery(graph, df, {n: ("vertex", (label[n],)) for n in bound}, bound[-1])
     for s, r, e in inner:
         if s == e:
             out = out.edge_check(s, e, [r])
     for n in bound:
-        if n in predicates:
+        if n in predicates and n not in filters:
             out = out._with(out.df, head=n).where(predicates[n])
     for s, r, e, kind in edges:
         if kind == "inner":

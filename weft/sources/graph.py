@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import Compiler
+from . import scratch
 from .schema import GraphSchema, Relation
 
 
@@ -19,7 +20,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 class PropertyGraph:
     """Vertex tables have column `id` (long, unique in the label); edge tables have `src` and `dst`, and may be bags."""
 
-    def __init__(self, vertices: dict[str, DataFrame], edges: dict[Relation, DataFrame], schema: GraphSchema | None = None):
+    def __init__(self, vertices: dict[str, DataFrame], edges: dict[Relation, DataFrame], schema: GraphSchema | None = None, symmetric: Iterable[str] = ()):
+        """`symmetric` names relations that have every edge in both directions, equally often."""
+        self.symmetric = frozenset(symmetric)
         self.vertex_tables, self.edge_tables = vertices, edges
         self.schema = schema or GraphSchema(
             {n: dict(t.dtypes) for n, t in vertices.items()},
@@ -63,6 +66,11 @@ class PropertyGraph:
             df = df.sample(fraction=sample, seed=seed)
         return df if limit is None else df.limit(limit)
 
+    def stored(self, *relations: str) -> PropertyGraph:
+        """The edges of the relations, which may be costly to derive, written once and read from there; to be used where a query reads them several times."""
+        edges = {r: scratch.written(t, "edges") if r.name in relations else t for r, t in self.edge_tables.items()}
+        return PropertyGraph(self.vertex_tables, edges, self.schema, self.symmetric)
+
     def lookup(self, label: str, column: str, value) -> DataFrame:
         """Vertices of one label by primary key; the comparison reaches the scan."""
         return self.vertices(label).where(F.col(column) == F.lit(value))
@@ -110,7 +118,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         Relation("Nation", "partOf", "Region"): edge(t["nation"], "n_nationkey", "n_regionkey"),
         Relation("Customer", "knows", "Customer"): edge(c.join(other, ["c_nationkey", "c_mktsegment"]).where("c_custkey != k2"), "c_custkey", "k2"),
     }
-    return PropertyGraph(vertices, edges)
+    return PropertyGraph(vertices, edges, symmetric=["knows"])
 
 
 def modern_graph(spark: SparkSession) -> PropertyGraph:

@@ -1,6 +1,6 @@
 """Bounded streams of rows, as a thin layer over DataFrames.
 
-Functions are Spark expressions (SQL text or columns). Where a user's Python function is wanted, `unary`, `binary` and `fold_by_key_pandas` take batches as pandas
+Functions are Spark expressions (SQL text or columns). Where a user's Python function is wanted, `unary`, `binary`, `segment_apply` and `reduce_by_key` take batches as pandas
 frames. Results that a dataflow leaves to chance (order of lists, rows of a limit) are as arbitrary here unless an order is given.
 """
 
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import checkpointed
+
 Expr = str | Column
 
 
@@ -88,15 +90,24 @@ class Stream:
         """Aggregates over all rows, e.g. total="sum(x)"."""
         return Stream(self.df.agg(*[_col(x).alias(n) for n, x in aggs.items()]))
 
-    reduce = fold
+    def reduce(self, function: Callable) -> Stream:
+        """One row from all, by an associative and commutative function of two rows as dicts. Partitions are reduced first, then groups of partial results, then these.
+
+        Batches go through Python as Arrow; whatever `fold` can express runs without it. No rows give no row.
+        """
+        groups = max(1, int(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+        some = self.reduce_partition(function).df.repartition(groups).mapInPandas(_reducer(function, self.df.columns), self.df.schema)
+        return self._of(some.repartition(1).mapInPandas(_reducer(function, self.df.columns), self.df.schema))
+
+    def reduce_partition(self, function: Callable) -> Stream:
+        """As reduce, a row per partition that has any."""
+        return self._of(self.df.mapInPandas(_reducer(function, self.df.columns), self.df.schema))
 
     def fold_partition(self, **aggs: Expr) -> Stream:
         """Aggregates per partition."""
         rows = self.df.withColumn("_part", F.spark_partition_id())
         return Stream(rows.groupBy("_part").agg(*[_col(x).alias(n) for n, x in aggs.items()]).drop("_part"))
 
-    reduce_partition = fold_partition
-
     def collect(self, column: str) -> Stream:
         """All values of a column as one sorted array: for results that fit in one row."""
         return Stream(self.df.agg(F.sort_array(F.collect_list(column)).alias(column)))
@@ -108,16 +119,10 @@ class Stream:
         return self._of(self.df.limit(n))
 
     def limit_partition(self, n: int) -> Stream:
-        """At most n rows of each partition."""
-
-        def first(frames):
-            left = n
-            for frame in frames:
-                if left > 0:
-                    yield frame.head(left)
-                    left -= len(frame)
-
-        return self._of(self.df.mapInPandas(first, self.df.schema))
+        """At most n rows of each partition: those that the partition has first."""
+        low = (1 << 33) - 1  # an increasing id has the row's number in its partition in the lower bits
+        rows = self.df.withColumn("_row", F.monotonically_increasing_id())
+        return self._of(rows.where(F.col("_row").bitwiseAND(low) < n).drop("_row"))
 
     def sort_by(self, *keys: Expr) -> Stream:
         return self._of(self.df.orderBy(*[_col(k) for k in keys] or self.df.columns))
@@ -140,7 +145,39 @@ class Stream:
     def fold_by_key(self, **aggs: Expr) -> Stream:
         return self._of(self.df.groupBy(*self.keys).agg(*[_col(x).alias(n) for n, x in aggs.items()]))
 
-    reduce_by_key = fold_by_key
+    def reduce_by_key(self, function: Callable) -> Stream:
+        """One row per key, by an associative and commutative function of two rows as dicts: partitions reduce their own rows of a key before the shuffle."""
+        keys, names, schema = list(self.keys), self.df.columns, self.df.schema
+        partial = self.df.mapInPandas(_reducer(function, names, keys), schema)
+        return self._of(partial.groupBy(*keys).applyInPandas(lambda frame: next(_reducer(function, names)(iter([frame]))), schema))
+
+    def accumulate_by_key(self, accumulator: type, column: str, schema: str) -> Stream:
+        """A user's accumulator per key: a class with `add(value)`, `merge(other)` and `result()`. Each partition fills its own, which are pickled and merged.
+
+        `schema` is the result's: the keys' columns, then one of the accumulator's result.
+        """
+        from pyspark import cloudpickle
+
+        keys, state = list(self.keys), "_state binary"
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.select(*keys).schema)
+
+        def fill(frames):
+            held: dict = {}
+            for frame in frames:
+                for *key, value in frame[[*keys, column]].itertuples(index=False, name=None):
+                    held.setdefault(tuple(key), accumulator()).add(value)
+            yield _frame([(*key, cloudpickle.dumps(acc)) for key, acc in held.items()], [*keys, "_state"])
+
+        def merged(key, frame):
+            whole = accumulator()
+            for raw in frame["_state"]:
+                whole.merge(cloudpickle.loads(raw))
+            return _frame([(*key, whole.result())], names)
+
+        from pyspark.sql.types import _parse_datatype_string
+
+        names = _parse_datatype_string(schema).names
+        return self._of(self.df.select(*keys, column).mapInPandas(fill, f"{kept}, {state}").groupBy(*keys).applyInPandas(merged, schema))
 
     def segment_apply(self, function: Callable, schema: str) -> Stream:
         """A pandas function per key; a key's rows must fit in memory."""
@@ -174,11 +211,34 @@ class Stream:
         self.df.write.mode("overwrite").parquet(path)
 
 
+def _frame(rows: list[tuple], names: list[str]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=names)
+
+
+def _reducer(function: Callable, names: list[str], keys: list[str] | None = None):
+    """Over an iterator of frames: one frame of the reduced row, or of one row per key."""
+
+    def run(frames):
+        held: dict = {}
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                key = tuple(row[k] for k in keys or ())
+                held[key] = function(held[key], row) if key in held else row
+        yield _frame([tuple(row[n] for n in names) for row in held.values()], names)
+
+    return run
+
+
 def _numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Row numbers from 0 in an order, without bringing all rows to one task: ranges are sorted, and each begins after the earlier ones' rows."""
+    """Row numbers from 0 in an order, without bringing all rows to one task: ranges are sorted, and each begins after the earlier ones' rows.
+
+    The ranges are written once: rows and sizes must come from the same deal, which two branches of a plan do not promise.
+    """
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part").orderBy(*order)
     placed = ranged.withColumn("_own", F.row_number().over(own) - 1)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -66,7 +66,7 @@ def ic_1(spark, sf_dir):
     s = g.scan("Supplier", "s").expand("s", "supplierIn", alias="n").select(s="@s", supplier="@s.name", nation="@n.name")
     x = x.join(orders, "id", "left").join(lines, "o", "left").join(s, "s", "left")
     pair = F.concat(F.coalesce("supplier", F.lit("")), F.lit("/"), F.coalesce("nation", F.lit("")))
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    joined = lambda c: F.when(F.count(c) > 0, F.array_join(F.sort_array(F.collect_set(c)), ","))
     rows = x.groupBy("id", "name", "distance").agg(F.min("city").alias("city"), joined(F.col("priority")).alias("priorities"), joined(pair).alias("suppliers"))
     return top(rows, 20, "distance", "name", "id")
 
