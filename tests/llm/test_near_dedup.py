@@ -70,6 +70,14 @@ def test_chain_links_through_members(docs):
     assert [r.doc_id for r in near_dedup.keep_one(docs(rows)).collect()] == [0]
 
 
+def test_repeated_ids_with_different_texts(docs):
+    """Of an id's rows only those of a kept set stay, and one of those that repeat id and set."""
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, one), (2, one + " end"), (2, two), (2, two), (3, two), (4, ""), (4, None), (None, two)]
+    found = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(docs(rows)).collect()), key=str)
+    assert found == sorted([(1, one), (2, two), (4, ""), (4, None)], key=str)
+
+
 def test_ids_by_shuffle(docs, monkeypatch):
     rows = corpus(3)
     monkeypatch.setattr(near_dedup, "IDS_SENT", 0)

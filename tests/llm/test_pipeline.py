@@ -8,7 +8,7 @@ import corpus_pipeline
 from weft.llm import common, line_rules, secrets
 from weft.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
-from test_near_dedup import brute
+from test_near_words import brute_words
 
 DIR = "/root/testdata/sf0.001"
 
@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark):
         best[rows[i].text.encode().lower()] = i
     out = common.written(stage["exact dedup"](spark, out, DIR), "t2")
     assert {r.doc_id for r in out.collect()} == set(best.values())
-    near = {i for i, n, c in brute([(i, rows[i].text) for i in sorted(best.values())]) if i == c}
+    near = brute_words([(i, rows[i].text) for i in sorted(best.values())], corpus_pipeline.NEAR_WORDS)
     out = common.written(stage["near dedup"](spark, out, DIR), "t3")
     assert {r.doc_id for r in out.collect()} == near
     limits = secrets.learned(secrets.scanned(out))

@@ -2,56 +2,86 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side may be broadcast up to so many rows; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from ..sources import scratch
 
+#: A join side may be broadcast up to so many rows and so many bytes (as a plan estimates them); beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+#: Batches that go to Python have so many bytes at most, unless the session says otherwise: rows have no bound of their own.
+BATCH_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
+scratch_path = scratch.path
+_scopes: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return the table read back.
 
-    This cuts lineage: a lost executor costs the tasks it ran, never what was written.
+    This cuts lineage: a lost executor costs the tasks it ran, never what was written. The table goes with `dropped` or `scope`, or when the program ends.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.weft_path = path
+    out = scratch.written(df, name)
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a table made by `written` that nothing will read again."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.weft_path)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for t in tables:
+        scratch.deleted(t.sparkSession, t.weft_path)
+        for made in _scopes:
+            made[:] = [x for x in made if x is not t]
+
+
+@contextmanager
+def scope() -> Iterator[Callable[..., None]]:
+    """Tables written inside are deleted at the end, but for those that the function given is called with: these pass to the scope around."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _scopes.remove(made)
+        rest = [t for t in made if any(t is k for k in kept)]
+        for t in made:
+            if not any(t is k for k in rest):
+                scratch.deleted(t.sparkSession, t.weft_path)
+        if _scopes:
+            _scopes[-1].extend(rest)
+
+
+def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """`mapInArrow` with batches bounded in bytes."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "1b") == "1b":  # not set
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembering(owner: str, forget: Callable[[], None]) -> None:
+    """To be called where a task of `owner` begins: what other owners remember in this worker goes, so caches don't add up over a pipeline's stages."""
+    for other in [x for x in _memories if x != owner]:
+        _memories.pop(other)()
+    _memories[owner] = forget
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is, for Spark to shuffle.
+    """`df` with a broadcast hint if it has at most `rows` rows and few enough bytes, else as it is, for Spark to shuffle.
 
-    `df` should be a written table, as its rows are counted first.
+    `df` should be a written table, as its rows are counted first; its bytes are those of rows of the schema's default widths.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = df._jdf.queryExecution().analyzed().schema().defaultSize()
+    return F.broadcast(df) if df.limit(rows + 1).count() <= min(rows, BROADCAST_BYTES // max(1, width)) else df
 
 
 def is_empty(df: DataFrame) -> bool:

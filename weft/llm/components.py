@@ -38,9 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     now = common.written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        half = common.written(_large(now), "links-large")
-        new = common.written(_small(half), "links-small")
-        common.dropped(half)
+        new = common.written(_small(_large(now)), "links")  # the large stars' exchange is made once and read twice
         common.dropped(now)
         now, old, mark = new, mark, _mark(new)
         if mark == old:

@@ -6,7 +6,7 @@
    their sketches has a population count that grows with that number; pairs with too high a count are dropped. The limit
    is `DEVIATIONS` standard deviations below the similarity asked for. A second odd sketch folds the whole sets: the
    population count of its XOR is never more than the sets' difference, so it drops no pair that is similar enough.
-3. What is left is confirmed on the sets of the whole texts.
+3. What is left is confirmed on the sets of the whole texts: they are made once per node that has a candidate, and intersected by the engine, row by row.
 
 No bucket is expanded into all its pairs. First, each member meets two pivots of its bucket: the member that shares most places
 in buckets, which is the middle of its copies if there is one, and one at random. Confirmed links give components. Only in buckets that still have several components, members
@@ -41,7 +41,7 @@ SKETCH_WORDS = 8  # of 64 bits
 SAMPLES = BANDS * ROWS
 SET_WORDS = 32  # of 64 bits, for the sketch of whole sets
 DEVIATIONS = 5.0
-IDS_SENT = 2_000_000
+IDS_SENT = 1_000_000  # 8 MB
 
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -116,10 +116,11 @@ def key_of(found: np.ndarray) -> bytes | None:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("words", textstats.forget)
         uid, seen = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 keys, sizes, bands, sketches, wholes = [], [], [], [], []
                 for value in part.column(1):
                     found = shingles(value.as_py(), size)
@@ -147,38 +148,35 @@ def _sign(size: int):
     return run
 
 
-def _keyed(wanted: np.ndarray | None, size: int):
-    """Key and text; of rows with a wanted id (or none) if the ids are listed."""
-    known = None if wanted is None else frozenset(wanted.tolist()) | {None}
+def _sets(wanted: np.ndarray | None, size: int):
+    """Key and set of shingles, once per key and partition; of rows with a wanted id (or none) if the sorted ids are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("words", textstats.forget)
+        seen: set[bytes] = set()
         for batch in batches:
-            if known is not None:
-                batch = batch.filter(pa.array([x in known for x in batch.column(0).to_pylist()], pa.bool_()))
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(shingles(x, size)) for x in part.column(1).to_pylist()], pa.binary()), part.column(1)], ["key", "text"])
+            if wanted is not None:
+                ids = batch.column(0)
+                batch = batch.filter(pa.array(among(ids.fill_null(0).to_numpy(), wanted) | ids.is_null().to_numpy(zero_copy_only=False)))
+            for lo in range(0, batch.num_rows, 256):
+                keys, sets = [], []
+                for value in batch.column(1)[lo : lo + 256]:
+                    found = shingles(value.as_py(), size)
+                    key = key_of(found)
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(found.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
     return run
 
 
-def _confirm(percent: int, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = []
-            for i in range(batch.num_rows):
-                node = b[i].as_py()
-                if last[0] != node:
-                    last = node, shingles(batch.column(3)[i].as_py(), size)
-                mine, theirs = shingles(batch.column(2)[i].as_py(), size), last[1]
-                both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(theirs) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["u", "v"])
-
-    return run
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 def _sketched(side: str) -> list[Column]:
@@ -199,7 +197,7 @@ class _Search:
         self.docs, self.percent, self.shingle = docs, percent, shingle
         self.limit = sketch_limit(percent)
         schema = "doc_id long, uid long, key binary, n_shingles long, bands array<long>, sketch array<long>, whole array<long>"
-        self.signed = common.written(docs.mapInArrow(_sign(shingle), schema), "near-signed")
+        self.signed = common.written(common.mapped(docs, _sign(shingle), schema), "near-signed")
         first = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands", True).alias("bands"), F.any_value("sketch", True).alias("sketch"), F.any_value("whole", True).alias("whole"))
         self.nodes = common.written(first.where("key is not null").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
@@ -208,8 +206,7 @@ class _Search:
         rows = self.nodes.select("node", F.posexplode("bands").alias("band", "h"))
         sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = common.written(rows.join(sizes, "h"), "near-shared")
-        popular = common.written(shared.groupBy("node").agg(F.sum("size").alias("places")), "near-popular")
-        ranked = shared.join(popular, "node")
+        ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("places")), "node")
         pivots = ranked.groupBy("h").agg(F.max(F.struct("places", "node"))["node"].alias("p1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("p2"))
         return common.written(shared.drop("size").join(pivots, "h"), "near-members")
 
@@ -225,19 +222,21 @@ class _Search:
         return sizes & (_xor("s", SKETCH_WORDS) <= self.limit) & difference
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links among written pairs (a, b), by the sets of the whole texts."""
+        """Links among written pairs (a, b), by the whole sets: these are made once per node, and intersected where the pairs are joined."""
         used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
         used = common.written(self.nodes.select("node", "key", "doc_id").join(used, "node"), "near-used")
         # IDs of one document per node: sent to the executors while they are few, else joined by a shuffle.
         if used.limit(IDS_SENT + 1).count() <= IDS_SENT:
-            source, ids = self.docs, used.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy()
+            source, ids = self.docs, np.sort(used.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy())
         else:
             source, ids = self.docs.join(used.select("doc_id").distinct(), self.docs["doc_id"].eqNullSafe(used["doc_id"]), "left_semi"), None
-        texts = source.mapInArrow(_keyed(ids, self.shingle), "key binary, text string").join(used.select("key", "node"), "key")
-        texts = common.written(texts.groupBy("node").agg(F.any_value("text").alias("text")), "near-texts")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        out = common.written(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(self.percent, self.shingle), "u long, v long"), "near-links")
-        common.dropped(texts)
+        sets = common.mapped(source, _sets(ids, self.shingle), "key binary, set array<long>").join(used.select("key", "node"), "key")
+        # A key may come from several partitions: equal keys have equal sets
+        sets = common.written(sets.groupBy("node").agg(F.any_value("set").alias("set")), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+        shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+        out = common.written(both.where(100 * shared >= self.percent * (total - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        common.dropped(sets, used)
         return out
 
     def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -260,38 +259,75 @@ class _Search:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. See the module for method and edge cases."""
+    return _labelled(docs, id_col, text_col, percent, shingle).drop("uid", "key")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
+    """As `near_dedup`, with the row's uid (its partition's number and its place there) and the key of its set."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    run = _Search(docs, percent, shingle)
-    members = run.members()
-    pivots = members.select(F.col("node").alias("a"), F.col("p1").alias("b")).unionAll(members.select("node", "p2")).where("a != b").distinct()
-    tested = common.written(run.near(pivots), "near-pivots")
-    links = run.confirmed(tested)
-    roots = common.written(components.components(links), "near-roots")
-    rest = run.rest(members, roots)
-    done = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = common.written(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionAll(run.confirmed(rest))
-        roots = components.components(links)
-    labels = run.nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"))
-    rows = common.written(run.signed.select("doc_id", "uid", "n_shingles", "key").join(labels, "key", "left"), "near-labels")
-    # The smallest id; a null id only where there is no other
-    best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
+    with common.scope() as keep:
+        run = _Search(docs, percent, shingle)
+        members = run.members()
+        pivots = members.select(F.col("node").alias("a"), F.col("p1").alias("b")).unionAll(members.select("node", "p2")).where("a != b").distinct()
+        tested = common.written(run.near(pivots), "near-pivots")
+        links = run.confirmed(tested)
+        roots = common.written(components.components(links), "near-roots")
+        rest = run.rest(members, roots)
+        done = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = common.written(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
+        if not rest.isEmpty():
+            links = links.unionAll(run.confirmed(rest))
+            roots = components.components(links)
+        labels = run.nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"))
+        rows = common.written(run.signed.select("doc_id", "uid", "n_shingles", "key").join(labels, "key", "left"), "near-labels")
+        # The smallest id; a null id only where there is no other
+        best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
+        best = common.written(best, "near-best")
+        keep(rows, best)
     alone = F.col("label").isNull()
-    best = common.bounded(common.written(best, "near-best"))
-    return rows.join(best, "label", "left").select(
+    return rows.join(common.bounded(best), "label", "left").select(
         "doc_id",
+        "uid",
+        "key",
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         (alone | (F.col("uid") == F.col("best.uid"))).alias("kept"),
     )
 
 
+def _with_key(at: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [key_of(shingles(x.as_py(), size)) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "_weft_key"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` of which one document of each component stays, with the columns of `docs`.
 
-    Ids of which no row is kept are removed; of rows that repeat an id, all stay if one does.
+    Ids of which all rows are kept stay, ids of which none is go. Where rows that repeat an id are judged differently, their sets tell them apart, and of
+    rows that repeat both one stays (all, if the set is empty).
     """
-    found = near_dedup(docs, id_col, text_col, percent, shingle).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_weft_id"))
-    gone = common.bounded(common.written(found, "near-gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_weft_id"]), "left_anti")
+    with common.scope() as keep:
+        found = _labelled(docs, id_col, text_col, percent, shingle)
+        by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("n")).where("n < rows")
+        by_id = common.written(by_id.select(F.col("doc_id").alias("_weft_id"), "n"), "near-gone")
+        partly = by_id.where("n > 0").select("_weft_id")
+        mixed = not partly.isEmpty()
+        if mixed:
+            sets = found.where("kept").join(partly, F.col("doc_id").eqNullSafe(F.col("_weft_id"))).select("_weft_id", F.col("key").alias("_weft_kept"))
+            sets = common.written(sets.distinct(), "near-mixed-ids")
+            keep(sets)
+        keep(by_id)
+    own = lambda left, right: left[id_col].cast("long").eqNullSafe(right["_weft_id"])
+    gone = common.bounded(by_id.select("_weft_id"))
+    out = docs.join(gone, own(docs, gone), "left_anti")
+    if not mixed:
+        return out
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    marked = common.mapped(docs.join(partly, own(docs, partly), "left_semi"), _with_key(docs.columns.index(text_col), shingle), f"{fields}, _weft_key binary")
+    again = marked.join(sets, own(marked, sets) & marked["_weft_key"].eqNullSafe(sets["_weft_kept"]), "left_semi")
+    ones = again.where("_weft_key IS NOT NULL").dropDuplicates([id_col, "_weft_key"]).unionAll(again.where("_weft_key IS NULL"))
+    return out.unionByName(ones.drop("_weft_key"))

@@ -11,7 +11,7 @@ import xxhash
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 TAIL_BYTES = np.array([(b & 0xC0) == 0x80 for b in range(256)])
 
 
@@ -28,6 +28,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
