@@ -9,7 +9,7 @@ thus costs a comparison and never a document.
 Scale: only fingerprints, digests and ids are shuffled for unique texts. Texts are shuffled only for routed
 documents, and after a map-side grouping, so a text that fills a third of all rows crosses the network once a partition.
 
-Edge cases: a null text counts as empty; all empty texts are equal. A null doc_id is the smallest id. Rows that repeat
+Edge cases: very long texts are read, hashed and compared whole; a null text counts as empty; all empty texts are equal. A null doc_id is the smallest id. Rows that repeat
 both id and text are copies like any others: one of them is kept. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -31,7 +31,7 @@ BLOCK_BITS = 12
 QUOTIENT_BITS = 8
 REMAINDER_BITS = 64 - BLOCK_BITS - QUOTIENT_BITS
 #: A list of routed fingerprints is sent to the executors up to so many; beyond that the routing is a shuffled semi-join.
-ROUTED_ROWS = 2_000_000
+ROUTED_ROWS = 1_000_000  # 8 MB
 
 MARKS = "doc_id long, uid long, fp long, text_sha256 string"
 
@@ -126,20 +126,24 @@ def repeated_fingerprints(marks: DataFrame) -> DataFrame:
     return filters.groupBy("block").applyInArrow(_merge, "fp long, n long")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _routed(fps: np.ndarray | None):
-    """Normalised texts with their digests; only those with a listed fingerprint if there is a list."""
-    known = None if fps is None else frozenset(fps.tolist())
+    """Normalised texts with their digests; only those with a listed fingerprint if there is a sorted list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(0):
-                data = normalised(value.as_py())
-                fp = fingerprint(data)
-                if known is None or fp in known:
-                    rows.append((fp, data, hashlib.sha256(data).hexdigest()))
-            if rows:
-                fp, data, digest = zip(*rows, strict=True)
+            for lo in range(0, batch.num_rows, 512):
+                texts = [normalised(x.as_py()) for x in batch.column(0)[lo : lo + 512]]
+                fp = np.array([fingerprint(x) for x in texts], np.int64)
+                at = range(len(texts)) if fps is None else np.flatnonzero(_among(fp, fps)).tolist()
+                fp, data = fp[list(at)], [texts[k] for k in at]
+                digest = [hashlib.sha256(x).hexdigest() for x in data]
                 yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(data, pa.binary()), pa.array(digest, pa.string())], ["fp", "data", "text_sha256"])
 
     return run
@@ -148,17 +152,19 @@ def _routed(fps: np.ndarray | None):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256. See the module for edge cases."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = common.written(docs.mapInArrow(_mark, MARKS), "dedup-marks")
-    repeated = common.written(repeated_fingerprints(marks), "dedup-repeated")
-    listed = repeated.limit(ROUTED_ROWS + 1).count() <= ROUTED_ROWS
-    fps = repeated.select("fp").toArrow().column(0).to_numpy() if listed else None
-    routed = docs.select("text").mapInArrow(_routed(fps), "fp long, data binary, text_sha256 string")
-    if not listed:
-        routed = routed.join(repeated.select("fp"), "fp", "left_semi")
-    # Byte verification: the grouping key is the whole normalised text.
-    verified = routed.groupBy("data").agg(F.count(F.lit(1)).alias("rows"), F.first("text_sha256").alias("text_sha256")).where("rows > 1").select("text_sha256", "rows")
-    best = marks.join(common.bounded(repeated.select("fp")), "fp", "left_semi").groupBy("text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("best"))
-    classes = common.written(verified.join(best, "text_sha256").select("text_sha256", F.col("rows").alias("group_size"), F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid")), "dedup-classes")
+    with common.scope() as keep:
+        marks = common.written(common.mapped(docs, _mark, MARKS), "dedup-marks")
+        repeated = common.written(repeated_fingerprints(marks), "dedup-repeated")
+        listed = repeated.limit(ROUTED_ROWS + 1).count() <= ROUTED_ROWS
+        fps = np.sort(repeated.select("fp").toArrow().column(0).to_numpy()) if listed else None
+        routed = common.mapped(docs.select("text"), _routed(fps), "fp long, data binary, text_sha256 string")
+        if not listed:
+            routed = routed.join(repeated.select("fp"), "fp", "left_semi")
+        # Byte verification: the grouping key is the whole normalised text.
+        verified = routed.groupBy("data").agg(F.count(F.lit(1)).alias("rows"), F.first("text_sha256").alias("text_sha256")).where("rows > 1").select("text_sha256", "rows")
+        best = marks.join(common.bounded(repeated.select("fp")), "fp", "left_semi").groupBy("text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("best"))
+        classes = common.written(verified.join(best, "text_sha256").select("text_sha256", F.col("rows").alias("group_size"), F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid")), "dedup-classes")
+        keep(marks, classes)
     both = marks.drop("fp").join(common.bounded(classes), "text_sha256", "left")
     single = F.col("group_size").isNull()
     return both.select(
@@ -190,7 +196,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     drop = common.written(drop.where("not any or rows > 1"), "dedup-drop")
     schema = docs.schema.simpleString()[7:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(_with_digest(docs.columns.index(text_col), None), f"{fields}, _weft_sha string") if schema else docs
+    marked = common.mapped(docs, _with_digest(docs.columns.index(text_col), None), f"{fields}, _weft_sha string") if schema else docs
     on = lambda left, right: left["_weft_sha"].eqNullSafe(right["_weft_sha"]) & left[id_col].cast("long").eqNullSafe(right["_weft_id"])
     gone = common.bounded(drop)
     out = marked.join(gone, on(marked, gone), "left_anti").drop("_weft_sha")

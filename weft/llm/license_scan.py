@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textstats
+from . import common, textstats
 
 SHINGLE = 5
 SHARE = 0.8
@@ -172,4 +172,4 @@ def _scan(texts: dict[str, str]):
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match: doc_id, license, start, end (code points), containment."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_scan(templates or TEMPLATES), "doc_id long, license string, start long, end long, containment double")
+    return common.mapped(docs, _scan(templates or TEMPLATES), "doc_id long, license string, start long, end long, containment double")

@@ -206,7 +206,7 @@ def _judge(field: Field):
 def judged(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and the columns of VERDICT."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_judge(field), f"doc_id long, {VERDICT}")
+    return common.mapped(docs, _judge(field), f"doc_id long, {VERDICT}")
 
 
 def _keep(at: int, field: Field):
@@ -219,4 +219,4 @@ def _keep(at: int, field: Field):
 
 def kept_rows(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with all their columns."""
-    return docs.mapInArrow(_keep(docs.columns.index(text_col), field), docs.schema)
+    return common.mapped(docs, _keep(docs.columns.index(text_col), field), docs.schema)

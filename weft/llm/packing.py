@@ -13,10 +13,11 @@ slots, which go to every task, are bounded by `size` alone. Pieces are shuffled
 
 Tokenising: ids are those of the tokenizers library. As its byte-level pre-tokeniser never joins text across a single space or
 newline between two other characters, words are encoded once and remembered, up to `WORDS_KEPT` a worker. New words go to
-tiktoken's merge loop with the ranks of the same file, which is faster a call; one in `CHECKED` of them is also encoded by
-tokenizers, and a difference is an error. Texts with other white space or special tokens go to tokenizers in whole segments.
+tiktoken's merge loop with the ranks of the same file, which is faster a call. Every word that is remembered is also encoded by tokenizers, and one in
+`CHECKED` of those for which there is no room; a difference is an error. Texts with other white space or special tokens go to tokenizers in whole segments.
 
-Edge cases: a null text counts as empty and yields the end id alone; a null doc_id stays null; rows that repeat are packed each; an
+Edge cases: a very long text is encoded whole, in one task, and cut into as many pieces as it needs; ties between equal lengths go by partition and place, which
+decides the sequence and nothing else; a null text counts as empty and yields the end id alone; a null doc_id stays null; rows that repeat are packed each; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from . import common
 
 SIZE = 2048
 END_ID = 1
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 CHECKED = 64
 # Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,15 +54,17 @@ class Irregular(Exception):
 class _Words(dict):
     """Bytes of the ids (unsigned 32 bits, little-endian) by word."""
 
-    def __init__(self, encode, prefix: str):
-        self.encode, self.prefix = encode, prefix
+    def __init__(self, owner: Encoder, prefix: str):
+        self.owner, self.prefix = owner, prefix
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Irregular(word)
-        out = self.encode(self.prefix + word)
-        if len(self) < WORDS_KEPT:
+        room = self.owner.room
+        out = self.owner.word(self.prefix + word, check=room > 0)
+        if room:
             self[word] = out
+            self.owner.room -= 1
         return out
 
 
@@ -93,18 +96,18 @@ class Encoder:
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary if ranks else None
         self.special = [x["content"] for x in model.get("added_tokens", [])]
         self.newline = self.library("\n") if self.by_word else b""
-        self.met = 0
-        self.first, self.rest = _Words(self.word, ""), _Words(self.word, " ")
+        self.met, self.room = 0, WORDS_KEPT
+        self.first, self.rest = _Words(self, ""), _Words(self, " ")
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, text: str) -> bytes:
+    def word(self, text: str, check: bool) -> bytes:
         self.met += 1
         if self.merge is None:
             return self.library(text)
         out = array("I", self.merge(text)).tobytes()
-        if self.met % CHECKED == 1 and out != self.library(text):
+        if (check or self.met % CHECKED == 1) and out != self.library(text):
             raise ValueError(f"tokenizers and tiktoken differ on {text!r}")
         return out
 
@@ -135,10 +138,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 def _pieces(path: str, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("packing", forget)
         encode, part = encoder(path), TaskContext.get().partitionId()
         ranks = [0] * (size + 1)
         for batch in batches:
@@ -220,15 +228,18 @@ def _place(table: tuple[np.ndarray, ...]):
 
 
 def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset; with `with_ids` also ids (unsigned 32 bits, little-endian)."""
+    """One row per piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset; with `with_ids` also ids (unsigned 32 bits, little-endian).
+
+    The table of earlier counts grows with partitions times lengths: it is broadcast only while it is within the bound, else joined by a shuffle on both.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     extra = ", ids binary" if with_ids else ""
-    pieces = common.written(docs.mapInArrow(_pieces(tokenizer, size, end_id, with_ids), PIECE + extra), "packing")
+    pieces = common.written(common.mapped(docs, _pieces(tokenizer, size, end_id, with_ids), PIECE + extra), "packing")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = common.written(counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = pieces.join(counts.drop("n"), ["length", "part"])
+    ranked = pieces.join(common.bounded(counts.drop("n")), ["length", "part"])
     columns = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", (F.col("rank") + F.col("earlier")).alias("rank"), *(["ids"] if with_ids else [])]
     schema = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + extra + ", sequence_id long, offset long"
-    return ranked.select(*columns).mapInArrow(_place(slots(patterns(histogram, size))), schema)
+    return common.mapped(ranked.select(*columns), _place(slots(patterns(histogram, size))), schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 UNITS_KEPT = 500_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: types of pieces
@@ -252,4 +254,4 @@ def encode_decode(docs: DataFrame, model: str, digests: bool = False, id_col: st
     """One row per document: doc_id, n_tokens, ids and decoded; with `digests` their SHA-256 instead, which spares moving them."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.mapInArrow(_run(model, digests), schema)
+    return common.mapped(docs, _run(model, digests), schema)

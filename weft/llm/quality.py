@@ -159,7 +159,7 @@ class Model:
 
 def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.written(docs.mapInArrow(_stats, "doc_id long, stats array<double>"), "quality-stats")
+    return common.written(common.mapped(docs, _stats, "doc_id long, stats array<double>"), "quality-stats")
 
 
 def fitted(stats: DataFrame, labels: DataFrame, fold: str = "crc32(cast(cast(doc_id as string) as binary)) % 3", learn: tuple[int, int] = (0, 2)) -> Model:
@@ -172,7 +172,7 @@ def fitted(stats: DataFrame, labels: DataFrame, fold: str = "crc32(cast(cast(doc
     if not head[0] or head[1] in (0, head[0]):
         return Model(None, None, np.zeros(1), np.array([head[1] / head[0] if head[0] else 0.5]))
     fourier = Fourier(np.array(head[2::2]), np.array(head[3::2]))
-    parts = rows.mapInArrow(_sums(fourier), "fold int, i int, row array<double>").groupBy("fold", "i").applyInArrow(_added, "fold int, i int, row array<double>").collect()
+    parts = common.mapped(rows, _sums(fourier), "fold int, i int, row array<double>").groupBy("fold", "i").applyInArrow(_added, "fold int, i int, row array<double>").collect()
     size = FEATURES + 2
     sums = {k: np.zeros((size, size)) for k in learn}
     for r in parts:
@@ -180,7 +180,7 @@ def fitted(stats: DataFrame, labels: DataFrame, fold: str = "crc32(cast(cast(doc
     total = sum(sums.values())
     weights = solved(total)
     across = {k: solved(sums[other]) if sums[other].any() else weights for k, other in (learn, learn[::-1])}
-    bins = rows.mapInArrow(_raw(fourier, across), "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).orderBy("bin").toPandas()
+    bins = common.mapped(rows, _raw(fourier, across), "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).orderBy("bin").toPandas()
     at = (bins["bin"].to_numpy() + 0.5) / BINS * 2 - 0.5
     return Model(fourier, weights, at, isotonic(bins["n"].to_numpy(float), bins["hits"].to_numpy(float)))
 
@@ -195,4 +195,4 @@ def _score(model: Model):
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) per row of a statistics table."""
-    return stats.mapInArrow(_score(model), "doc_id long, score double")
+    return common.mapped(stats, _score(model), "doc_id long, score double")

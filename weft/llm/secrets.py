@@ -222,7 +222,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_scan, SCAN)
+    return common.mapped(docs, _scan, SCAN)
 
 
 def learned(scan: DataFrame, rate: float = FDR) -> dict[str, int]:
@@ -273,7 +273,7 @@ def _redact(at: int, limits: dict[str, int]):
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FDR) -> DataFrame:
     """`docs` with all columns and rows, spans of the text replaced by marks. Thresholds are of these documents."""
     limits = learned(scanned(docs, id_col, text_col), rate)
-    return docs.mapInArrow(_redact(docs.columns.index(text_col), limits), docs.schema)
+    return common.mapped(docs, _redact(docs.columns.index(text_col), limits), docs.schema)
 
 
 def digest(text: str) -> str:

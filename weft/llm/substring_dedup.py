@@ -152,7 +152,7 @@ def _rows(bitmap: np.ndarray):
 
 def repeated_bitmap(docs: DataFrame) -> np.ndarray:
     """Bitmap, of a fixed size, of the leading bits of digests that occur twice or more."""
-    counted = docs.select("text").mapInArrow(_count, "d long, n long").groupBy("d").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = common.mapped(docs.select("text"), _count, "d long, n long").groupBy("d").agg(F.sum("n").alias("n")).where("n > 1")
     low = MAP_BITS - MAP_BLOCKS
     lead = F.shiftrightunsigned("d", 64 - MAP_BITS)
     places = counted.select(F.shiftrightunsigned(lead, low).cast("int").alias("block"), lead.bitwiseAND((1 << low) - 1).cast("int").alias("bit")).distinct()
@@ -168,7 +168,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bitmap = repeated_bitmap(docs)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    rows = common.written(docs.mapInArrow(lambda batches: _rows(held.value)(batches), "doc_id long, uid long, hi long, lo long, start long, end long"), "substring-rows")
+    rows = common.written(common.mapped(docs, lambda batches: _rows(held.value)(batches), "doc_id long, uid long, hi long, lo long, start long, end long"), "substring-rows")
     first = rows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = rows.join(first, ["hi", "lo"]).where((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
     own = Window.partitionBy("uid").orderBy("start", "end")

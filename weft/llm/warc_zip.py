@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     same = common.written(same, "warc-same")
     typed = pages.select("*", *key).join(common.bounded(same), ["sha", "bytes"], "left")
     rows = typed.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    return common.written(rows.mapInArrow(_write(folder, archive_bytes), "archive string, records long"), "warc-archives")
+    return common.written(common.mapped(rows, _write(folder, archive_bytes), "archive string, records long"), "warc-archives")
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
