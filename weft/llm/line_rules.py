@@ -4,14 +4,19 @@ A linear-chain conditional random field labels the lines of a text as content or
 best labels, and a document is kept if at least `CONTENT_SHARE` of its words stand in content lines and it passes the base rules
 (at least 20 words; at most 30 % of words in repeated 8-word windows).
 
-The field is trained here from labelled documents: lines of documents of quality 0 count as boilerplate and those of quality 1 as
-content. At most `TRAIN_DOCS` documents of each quality, those with the smallest hash of their id, are used, and of each the
-`TRAIN_LINES` lines with the smallest hashes in its whole text, in their order; a line counts as repeated if it is so in the whole text. What reaches the driver is bounded by these. Decoding uses whole texts.
+Lines have no labels of their own, so the field is trained here with latent ones, from labelled documents: all lines of a document of quality 1 are content, and of
+one of quality 0 at least one line is boilerplate, no matter which. The likelihood of such documents is that of all labellings that agree: of the labelling
+without boilerplate, or of all the others. What sets the lines of bad documents apart so becomes boilerplate, and lines in them that look as those of good ones do
+stay content. Both qualities weigh the same.
+
+`TRAIN_DOCS` documents of each quality at most, those with the smallest hashes of their ids, are used, whole documents with all their lines; they go on, in that order,
+up to `TRAIN_LINES` lines of each quality. What reaches the driver is bounded by these. A text of more than `CHAIN` lines is several chains in training. Decoding uses whole texts.
 
 Scale: one pass over documents without a shuffle; the model is a few dozen numbers.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null doc_id stays null; repeated rows are judged each; very long
-texts take time in proportion to their lines; without labels of both qualities no line is boilerplate; an empty table gives an
+texts take time in proportion to their lines; of equally good labellings the one with content is taken; a row of labels for an id without a document
+is ignored; without labels of both qualities no line is boilerplate; an empty table gives an
 empty result; other columns are ignored by `judged` and kept by `kept_rows`.
 """
 
@@ -23,15 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textstats
+from . import common, textstats
 
 TRAIN_DOCS = 1500
-TRAIN_LINES = 48
-STEPS = 120
+TRAIN_LINES = 100_000
+CHAIN = 256
+STEPS = 100
 CONTENT_SHARE = 0.5
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -101,67 +106,84 @@ class Field:
         return out[::-1] if scores else []
 
 
-def trained(docs: list[tuple[np.ndarray, int]], steps: int = STEPS, ridge: float = 1e-3) -> Field:
-    """Field of greatest likelihood: each document has its rows of features and the label of all its lines."""
-    docs = [(x, y) for x, y in docs if len(x)]
-    if len({y for _, y in docs}) < 2:
+class Chains:
+    """Training texts as chains, the longest first: rows of features one after the other, where each chain begins, and its quality."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, int]]):
+        cut = [(x[k : k + CHAIN], quality) for x, quality in docs for k in range(0, len(x), CHAIN)]
+        cut.sort(key=lambda c: -len(c[0]))
+        self.lengths = np.array([len(x) for x, _ in cut], np.int64)
+        self.quality = np.array([q for _, q in cut], np.int64)
+        self.rows = np.concatenate([x for x, _ in cut]) if cut else np.zeros((0, N_FEATURES))
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        # How many chains have a line at each place
+        self.alive = [int((self.lengths > k).sum()) for k in range(self.lengths.max(initial=0))]
+        counts = np.bincount(self.quality, minlength=2).clip(1)
+        self.weights = 0.5 / counts[self.quality]
+
+
+def likelihood(w: np.ndarray, t: np.ndarray, chains: Chains) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log-likelihood of the documents' qualities, and its gradient by weights and transitions.
+
+    With p the probability of the labelling without boilerplate, a chain of quality 1 counts log p and one of quality 0 log(1 - p).
+    """
+    own, starts = chains.rows @ w, chains.starts
+    forth = np.zeros((len(own), 2))
+    for k, n in enumerate(chains.alive):
+        at = starts[:n] + k
+        if k:
+            forth[at] = np.logaddexp(forth[at - 1][:, :1] + t[0], forth[at - 1][:, 1:] + t[1])
+        forth[at, 1] += own[at]
+    ends = starts + chains.lengths - 1
+    z = np.logaddexp(forth[ends, 0], forth[ends, 1])
+    log_p = (chains.lengths - 1) * t[0, 0] - z
+    p = np.exp(log_p)
+    good = chains.quality == 1
+    q = np.maximum(-np.expm1(log_p), 1e-300)
+    value = float(chains.weights @ np.where(good, log_p, np.log(q)))
+    scale = chains.weights * np.where(good, 1.0, -p / q)  # of the gradient of log p
+    back, p1, pairs = np.zeros((len(starts), 2)), np.zeros(len(own)), np.zeros((len(starts), 2, 2))
+    for k in range(len(chains.alive) - 1, -1, -1):
+        n = chains.alive[k]
+        at = starts[:n] + k
+        p1[at] = np.exp(forth[at, 1] + back[:n, 1] - z[:n])
+        if k:
+            ahead = back[:n].copy()
+            ahead[:, 1] += own[at]
+            pairs[:n] += np.exp(forth[at - 1][:, :, None] + t + ahead[:, None, :] - z[:n, None, None])
+            back[:n] = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
+    grad_w = -(p1 * np.repeat(scale, chains.lengths)) @ chains.rows
+    grad_t = -np.einsum("i,iab->ab", scale, pairs)
+    grad_t[0, 0] += scale @ (chains.lengths - 1)
+    return value, grad_w, grad_t
+
+
+def trained(docs: list[tuple[np.ndarray, int]], steps: int = STEPS, ridge: float = 1e-4) -> Field:
+    """Field of greatest likelihood: each document has its lines' rows of features, and its quality."""
+    docs = [(x, q) for x, q in docs if len(x)]
+    if len({q for _, q in docs}) < 2:
         return Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    n, longest = len(docs), max(len(x) for x, _ in docs)
-    rows, real = np.zeros((longest, n, N_FEATURES)), np.zeros((longest, n), bool)
-    for i, (x, _) in enumerate(docs):
-        rows[: len(x), i], real[: len(x), i] = x, True
-    labels = np.array([y for _, y in docs])
+    chains = Chains(docs)
     w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
-    total = real.sum()
-    pairs = np.zeros((2, 2))
-    moves = (real.sum(0) - 1).astype(float)
-    pairs[0, 0], pairs[1, 1] = moves[labels == 0].sum(), moves[labels == 1].sum()
-    seen = np.einsum("tnk,tn->k", rows, real * labels)
     m1, m2 = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for step in range(1, steps + 1):
-        own = np.stack([np.zeros((longest, n)), rows @ w], -1)
-        forth = np.zeros((longest, n, 2))
-        forth[0] = own[0]
-        for k in range(1, longest):
-            nxt = np.logaddexp(forth[k - 1][:, :1] + t[0], forth[k - 1][:, 1:] + t[1]) + own[k]
-            forth[k] = np.where(real[k][:, None], nxt, forth[k - 1])
-        z = np.logaddexp(forth[-1][:, 0], forth[-1][:, 1])
-        back, expected, p1 = np.zeros((n, 2)), np.zeros((2, 2)), np.zeros((longest, n))
-        for k in range(longest - 1, -1, -1):
-            on = real[k]
-            p1[k] = np.where(on, np.exp(forth[k][:, 1] + back[:, 1] - z), 0)
-            if k:
-                ahead = own[k] + back
-                joint = np.exp(forth[k - 1][:, :, None] + t[None] + ahead[:, None, :] - z[:, None, None])
-                expected += joint[on].sum(0)
-                back = np.where(on[:, None], np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:]), back)
-        grad = np.concatenate([np.einsum("tnk,tn->k", rows, p1) - seen, (expected - pairs).ravel()]) / total
-        grad += ridge * np.concatenate([w, t.ravel()])
+        _, by_w, by_t = likelihood(w, t, chains)
+        grad = ridge * np.concatenate([w, t.ravel()]) - np.concatenate([by_w, by_t.ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        move = 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+        move = 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, t = w - move[:N_FEATURES], t - move[N_FEATURES:].reshape(2, 2)
     return Field(w, t)
 
 
-def sampled(lines: list[str]) -> list[int]:
-    """Places, in order, of at most `TRAIN_LINES` lines, by a hash of line and place."""
-    if len(lines) <= TRAIN_LINES:
-        return list(range(len(lines)))
-    hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=k) for k, x in enumerate(lines)]
-    return sorted(sorted(range(len(lines)), key=hashes.__getitem__)[:TRAIN_LINES])
-
-
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for value in batch.column(0):
-            lines = (value.as_py() or "").split("\n")
-            again, at = textstats.repeated_lines(lines), sampled(lines)
-            out.append(features([lines[k] for k in at], [again[k] for k in at]).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), batch.column(1)], ["rows", "quality"])
+        for k in range(batch.num_rows):
+            lines = (batch.column(0)[k].as_py() or "").split("\n")
+            rows = features(lines, textstats.repeated_lines(lines)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.float64())), batch.column(1).slice(k, 1)], ["rows", "quality"])
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_quality: int = TRAIN_DOCS) -> Field:
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_quality: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
     """Field trained on labelled documents; `labels` has doc_id and quality."""
     chosen = None
     for quality in (0, 1):
@@ -170,8 +192,11 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         chosen = ids if chosen is None else chosen.unionAll(ids)
     # At most 2 x per_quality ids: bounded
     texts = docs.select(F.col(id_col).cast("long").alias("_weft_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_weft_id")
-    rows = texts.select("text", "quality", "_weft_id").dropDuplicates(["_weft_id", "quality"]).select("text", "quality").mapInArrow(_line_rows, "rows array<double>, quality int").toArrow().to_pylist()
-    return trained([(np.array(r["rows"]).reshape(-1, N_FEATURES), 1 - r["quality"]) for r in rows])
+    texts = texts.dropDuplicates(["_weft_id", "quality"]).withColumn("lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")))
+    first = Window.partitionBy("quality").orderBy(F.xxhash64("_weft_id"), "_weft_id")
+    texts = texts.withColumn("sum", F.sum("lines").over(first)).where(F.col("sum") <= lines).select("text", "quality")
+    rows = common.mapped(texts, _line_rows, "rows array<double>, quality int").toArrow()
+    return trained([(x.values.to_numpy().reshape(-1, N_FEATURES), q) for x, q in zip(rows.column(0), rows.column(1).to_pylist(), strict=True)])
 
 
 def verdict(text: str, field: Field) -> tuple:
@@ -194,6 +219,7 @@ NAMES = [x.split(" ")[0] for x in VERDICT.split(", ")]
 
 def _judge(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("words", textstats.forget)
         for batch in batches:
             if batch.num_rows:
                 rows = [verdict(x or "", field) for x in batch.column(1).to_pylist()]
@@ -211,6 +237,7 @@ def judged(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 def _keep(at: int, field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("words", textstats.forget)
         for batch in batches:
             yield batch.filter(pa.array([verdict(x or "", field)[-1] for x in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -39,7 +39,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_rules.judged(docs, line_rules.learned(docs, table(spark, sf_dir, "labels"))).drop("content_share")
+    return line_rules.judged(docs, line_rules.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
