@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from weft.workload import operators, social
+from weft.workload import operators, social, surface
 
 DIR = "/root/testdata/sf0.01"
-QUERIES, SQL = operators.QUERIES | social.QUERIES, operators.SQL | social.SQL
+QUERIES, SQL = operators.QUERIES | social.QUERIES | surface.QUERIES, operators.SQL | social.SQL | surface.SQL
 
 
 @pytest.fixture(scope="module")
