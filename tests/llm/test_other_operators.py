@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import gzip
+import json
+import zlib
 import io
 import random
 import struct
@@ -59,6 +62,44 @@ def test_quality_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def pooled(values, weights):
+    """Nondecreasing least squares: the greatest, over starts, of the least, over ends, of weighted means."""
+    n = len(values)
+    mean = lambda a, b: np.average(values[a : b + 1], weights=weights[a : b + 1])
+    return [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+
+
+def test_quality_by_plain_algebra(spark):
+    """The query's scores from all rows at once: dense ridge, folds fitted on each other, isotonic means by their definition."""
+    import weft.llm.queries as q
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    stats = {r.doc_id: np.array(quality.statistics(r.text or ""), float) for r in docs}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    ids = [r.doc_id for r in docs if r.doc_id in labels and fold(r.doc_id) != 1]
+    x, y, k = np.array([stats[i] for i in ids]), np.array([labels[i] for i in ids], float), np.array([fold(i) for i in ids])
+    features = quality.Fourier(x.mean(0), x.std(0))
+    z = features(x)
+
+    def ridge(rows):
+        penalty = np.full(z.shape[1], quality.RIDGE * max(1, rows.sum()))
+        penalty[-1] = 1e-9
+        return np.linalg.solve(z[rows].T @ z[rows] + np.diag(penalty), z[rows].T @ y[rows])
+
+    raw = np.where(k == 0, z @ ridge(k == 2), z @ ridge(k == 0))
+    bins = np.clip((raw + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    found = np.unique(bins)
+    weights = np.array([(bins == b).sum() for b in found], float)
+    curve = pooled(np.array([y[bins == b].mean() for b in found]), weights)
+    at = (found + 0.5) / quality.BINS * 2 - 0.5
+    whole = ridge(np.ones(len(y), bool))
+    want = {i: float(np.interp(features(s[None]) @ whole, at, curve)[0]) for i, s in stats.items()}
+    for r in q.op1_quality(spark, sf).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.held_out == (fold(r.doc_id) == 1)
+
+
 def test_quality_edges(docs, edge_rows, spark):
     stats = quality.statistics_table(docs(edge_rows))
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(1, 0), (None, 1), (3, None)], "doc_id long, y int")
@@ -93,6 +134,33 @@ def test_archives_round_trip(spark):
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in found], key=str) == sorted(expected, key=str)
 
 
+def test_pages_without_an_address(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "page_id long, html string")
+    found = warc_zip.read_archives(warc_zip.write_archives(rows)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_packages_of_several_members(spark, tmp_path):
+    """Index entries name their member; compressed members are no archives, and an unknown name is an error."""
+    parts, index = {"one.warc.gz": b"", "two.warc.gz": b""}, []
+    for k in range(9):
+        name = ("one.warc.gz", "two.warc.gz")[k % 2]
+        record = gzip.compress(warc_zip.record_bytes(k, "u", b"page %d" % k, None))
+        index.append({"filename": name, "offset": str(len(parts[name])), "length": str(len(record))})
+        parts[name] += record
+    for name, entries in (("good", index), ("bad", [*index, {"filename": "three.warc.gz", "offset": 0, "length": 1}])):
+        with zipfile.ZipFile(tmp_path / f"{name}.wacz", "w") as z:
+            for part, data in parts.items():
+                z.writestr(f"archive/{part}", data)
+            z.writestr("archive/log.txt", b"text" * 100, zipfile.ZIP_DEFLATED)
+            z.writestr("indexes/index.cdxj", "".join(f"u 1970 {json.dumps(x)}\n" for x in entries))
+    table = lambda name: spark.createDataFrame([(f"file://{tmp_path}/{name}.wacz", 9)], "archive string, records long")
+    found = warc_zip.read_archives(table("good"), with_payload=True, range_bytes=300).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in found) == [(k, b"page %d" % k) for k in range(9)]
+    with pytest.raises(Exception, match="three.warc.gz"):
+        list(warc_zip.ranges(f"file://{tmp_path}/bad.wacz"))
+
+
 def test_no_pages(spark):
     assert warc_zip.read_archives(warc_zip.write_archives(pages(spark, []))).count() == 0
 
@@ -177,7 +245,8 @@ def test_spans_by_brute_force(docs, edge_rows):
     """Every span whose bytes occurred before, by order of id and place, and no other."""
     rng = random.Random(5)
     p = prose(rng, 70)
-    rows = [(i, t) for i, t in edge_rows if i != 5] + [(50 + k, f"{prose(rng, 20)} {p if k % 2 else ''} {prose(rng, 20)}") for k in range(6)]
+    long = prose(rng, 4000)
+    rows = [*edge_rows, (60, f"{long} end"), (61, f"start {long}")] + [(50 + k, f"{prose(rng, 20)} {p if k % 2 else ''} {prose(rng, 20)}") for k in range(6)]
     seen, expected = {}, {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         data = (t or "").encode()

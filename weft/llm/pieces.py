@@ -177,6 +177,7 @@ class Codec:
         self.end = self.library.eos_id()
         self.fresh: list[tuple[str, tuple[int, ...]]] = []
         self.after, self.inner = _Memory(self, SPACE), _Memory(self, "")
+        self.by_unit = bool(self.vocabulary.spaced and self.vocabulary.lined and self.vocabulary.prefix)
 
     def encoded(self, text: str) -> tuple[list[int], str]:
         """Ids with the end id, and the same as decimals with a space between."""
@@ -184,7 +185,7 @@ class Codec:
         found: list[tuple[tuple[int, ...], str]] = []
         if not text:
             pass
-        elif not (v.spaced and v.lined and v.prefix):
+        elif not self.by_unit:
             found.append(self.inner[v.prefix + text.replace(" ", SPACE)])
         else:
             after, newline = self.after, self.inner["\n"]
@@ -208,16 +209,32 @@ class Codec:
         return ids, "".join([*[x[1] for x in found], str(self.end)])
 
     def checked(self) -> None:
-        """Encode by the library what is new since the last call, and compare: units joined by what keeps them apart."""
+        """Encode by the library what is new since the last call, and compare: every unit, joined by what keeps them apart.
+
+        A word after one space is compared after a space, any other unit (a line's first word, several spaces and what follows them) on a line of its own.
+        """
         prefix, fresh, self.fresh = self.vocabulary.prefix, self.fresh, []
-        spaced = [x for x in fresh if prefix and x[0].startswith(SPACE) and SPACE not in x[0][1:] and len(x[0]) > 1]
-        inner = [x for x in fresh if prefix and SPACE not in x[0] and "\n" not in x[0] and x[0]]
+        if not self.by_unit:
+            for unit, ids in fresh:
+                self.same([unit], list(ids), self.library.encode(unit[len(prefix) :].replace(SPACE, " "), num_threads=1))
+            return
+        spaced = [x for x in fresh if x[0].startswith(SPACE) and SPACE not in x[0][1:] and len(x[0]) > 1]
+        known = {u for u, _ in spaced}
+        other = [x for x in fresh if x[0] not in known and x[0] not in ("", "\n")]
         # The library puts a space sign first; a unit without one follows a newline.
         newline = self.library.encode("\n")
-        for units, text, head, gap in ((spaced, " ".join(u[1:] for u, _ in spaced), [], []), (inner, "\n" + "\n".join(u for u, _ in inner), newline, newline[1:])):
-            ours = head + [i for k, (_, ids) in enumerate(units) for i in ((*gap, *ids) if k else ids)]
-            if units and ours != self.library.encode(text, num_threads=1):
-                raise ValueError(f"the library encodes one of {len(units)} new units otherwise, from {units[0][0]!r} to {units[-1][0]!r}")
+        self.same(["\n"], list(self.inner["\n"][0]), newline[1:])
+        if spaced:
+            ids = chain.from_iterable([x for _, x in spaced])
+            self.same([u for u, _ in spaced], list(ids), self.library.encode(" ".join(u[1:] for u, _ in spaced), num_threads=1))
+        if other:
+            ids = newline + [i for k, (_, own) in enumerate(other) for i in ((*newline[1:], *own) if k else own)]
+            self.same([u for u, _ in other], ids, self.library.encode("\n" + "\n".join(u.replace(SPACE, " ") for u, _ in other), num_threads=1))
+
+    @staticmethod
+    def same(units: list[str], ours: list[int], theirs: list[int]) -> None:
+        if ours != theirs:
+            raise ValueError(f"the library encodes one of {len(units)} new units otherwise, from {units[0][:50]!r} to {units[-1][:50]!r}")
 
 
 SPACED = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -231,8 +248,13 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def forget() -> None:
+    _codecs.clear()
+
+
 def _run(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembering("pieces", forget)
         own = codec(path)
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:

@@ -29,6 +29,7 @@ from . import common, textstats
 
 FEATURES = 256
 BINS = 2000
+GROUPS = 64
 RIDGE = 1e-3
 SEED = 17
 SPAN = 4.0  # standardised statistics are cut at this many deviations
@@ -172,7 +173,10 @@ def fitted(stats: DataFrame, labels: DataFrame, fold: str = "crc32(cast(cast(doc
     if not head[0] or head[1] in (0, head[0]):
         return Model(None, None, np.zeros(1), np.array([head[1] / head[0] if head[0] else 0.5]))
     fourier = Fourier(np.array(head[2::2]), np.array(head[3::2]))
-    parts = common.mapped(rows, _sums(fourier), "fold int, i int, row array<double>").groupBy("fold", "i").applyInArrow(_added, "fold int, i int, row array<double>").collect()
+    sums = common.mapped(rows, _sums(fourier), "fold int, i int, row array<double>")
+    # Added up in two levels, so that no group grows with the partitions
+    some = sums.groupBy("fold", "i", F.spark_partition_id() % GROUPS).applyInArrow(_added, "fold int, i int, row array<double>")
+    parts = some.groupBy("fold", "i").applyInArrow(_added, "fold int, i int, row array<double>").collect()
     size = FEATURES + 2
     sums = {k: np.zeros((size, size)) for k in learn}
     for r in parts:

@@ -6,15 +6,17 @@ the next ends. Neighbouring chunks that together have `SPAN` bytes or more form
 a span whose digest was seen before repeats an earlier one. Overlapping repeated spans of a document are joined; what has `LEAST`
 bytes or more is a repeated passage, of which the first copy (by id, then row, then place) stays.
 
-A passage loses on average 40 bytes at its start and 24 at its end before chunks agree, and what is left is held against `LEAST`. So not every
-passage of over 50 words is found: by length, of 1,000 random ones each, 0 % at 112 bytes, 19.8 % at 150, 56.5 % at 180, 78.6 % at 200, 90.9 % at
-228, 96.5 % at 257, 98.6 % at 291, and all at 331 and more. The ends of a passage stay in the text.
+A passage loses on average 32 bytes at its start and 16 at its end before chunks agree, and what is left is held against `LEAST`. So not every
+passage of over 50 words is found: by length, of 1,000 random ones each, 0.1 % at 112 bytes, 33 % at 150, 80.4 % at 180, 93 % at 200, 98.7 % at
+228, 99.6 % at 257, and all at 291 and more. The ends of a passage stay in the text.
 
 Scale: the first pass counts digests, summed per partition before the shuffle, so common passages cost a row a partition. A bitmap of
-repeated digests of a fixed size then lets the second pass drop most unique spans where they are made; exact digests of 128 bits decide. A
-passage that fills a third of all rows is summed map-side, and the join back to its copies has one row on the other side, so it can be split.
+repeated digests of a fixed size then lets the second pass drop most unique spans where they are made; exact digests of 128 bits decide. It has 16 MB, and holds
+some hundred million repeated digests; beyond that ever more unique spans are written and shuffled, which costs time and changes nothing else. A
+passage that fills a third of all rows is summed map-side; its first copy is a row of a written table, so the join back to the copies is of two plain
+shuffles, and adaptive execution splits the copies and repeats that row.
 
-Edge cases: a null text counts as empty and has no spans; a null doc_id comes first in the order of ids; rows that repeat are copies of
+Edge cases: very long texts are chunked whole; of equal ids the earlier row of the earlier partition comes first; a null text counts as empty and has no spans; a null doc_id comes first in the order of ids; rows that repeat are copies of
 each other; repeats within one document count too; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHUNK, MAX_CHUNK = 8, 256
-RATE = 24  # bytes from one possible end to the next, on average
+RATE = 16  # bytes from one possible end to the next, on average
 SPAN = 64
 LEAST = 112
 MAP_BITS = 27
@@ -163,14 +165,21 @@ def repeated_bitmap(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans whose digest may be repeated, and the first span of every digest that is."""
+    held = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(docs))
+    rows = common.written(common.mapped(docs, lambda batches: _rows(held.value)(batches), "doc_id long, uid long, hi long, lo long, start long, end long"), "substring-rows")
+    first = rows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows, common.written(first.drop("n"), "substring-first")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that repeats an earlier one: doc_id, uid (of the row), start, end (UTF-8 bytes), first_doc_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bitmap = repeated_bitmap(docs)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    rows = common.written(common.mapped(docs, lambda batches: _rows(held.value)(batches), "doc_id long, uid long, hi long, lo long, start long, end long"), "substring-rows")
-    first = rows.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(first, ["hi", "lo"]).where((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
+    with common.scope() as keep:
+        rows, first = _repeated(docs)
+        keep(rows, first)
+    later = rows.join(first.hint("merge"), ["hi", "lo"]).where((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
     own = Window.partitionBy("uid").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.select("doc_id", "uid", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.coalesce((F.col("start") > before).cast("int"), F.lit(1)).alias("new"))

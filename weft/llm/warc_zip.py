@@ -128,7 +128,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     folder = folder or common.scratch_path(spark, "warc")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     pages = pages.select(F.col("page_id").cast("long"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    key = [F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("bytes")]
+    # The WARC digest is SHA-1, of which collisions are known: what decides here is SHA-256 and the length
+    key = [F.sha2(F.col("html").cast("binary"), 256).alias("sha"), F.octet_length("html").alias("bytes")]
     same = pages.select("page_id", *key).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same = common.written(same, "warc-same")
     typed = pages.select("*", *key).join(common.bounded(same), ["sha", "bytes"], "left")
@@ -201,11 +202,11 @@ def ranges(uri: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, list
     fs, path = opened(uri)
     with fs.open_input_file(path) as file:
         members = directory(file, file.size())
-        stored = [m for m in members if m["name"].startswith("archive/") and m["method"] == 0]
+        stored = {m["name"].removeprefix("archive/"): m for m in members if m["name"].startswith("archive/") and m["method"] == 0}
         indexes = [m for m in members if re.match(r"indexes/.*\.cdxj(\.gz)?$", m["name"])]
-        if len(stored) != 1 or not indexes:
-            raise ValueError(f"{uri}: one stored archive member and an index are needed")
-        base, places = member_start(file, stored[0]), []
+        if not stored or not indexes:
+            raise ValueError(f"{uri}: a stored archive member and an index are needed")
+        bases, places = {name: member_start(file, m) for name, m in stored.items()}, set()
         for index in indexes:
             file.seek(member_start(file, index))
             text = file.read(index["packed"])
@@ -213,19 +214,22 @@ def ranges(uri: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, list
             text = gzip.decompress(text) if index["name"].endswith(".gz") else text
             for line in text.decode().splitlines():
                 entry = json.loads(line[line.index("{") :])
-                places.append((int(entry["offset"]), int(entry["length"])))
-    places.sort()
+                # An entry names its member; without a name there must be only one
+                name = entry.get("filename", "").removeprefix("archive/") or (next(iter(bases)) if len(bases) == 1 else "")
+                if name not in bases:
+                    raise ValueError(f"{uri}: no stored archive member {name!r}, which the index names")
+                places.add((bases[name] + int(entry["offset"]), int(entry["length"])))
     first, lengths, end = 0, [], -1
-    for at, n in places:
+    for at, n in sorted(places):
         if lengths and (at != end or end + n - first > range_bytes):
-            yield base + first, lengths
+            yield first, lengths
             lengths = []
         if not lengths:
             first = at
         lengths.append(n)
         end = at + n
     if lengths:
-        yield base + first, lengths
+        yield first, lengths
 
 
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
