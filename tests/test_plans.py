@@ -88,6 +88,17 @@ def test_estimates(graph, catalogue):
     assert again.counts == exact.counts and len(again.printed().splitlines()) == len(again.counts)
 
 
+def test_counting_by_levels(graph, tmp_path, spark):
+    """Without a limit all counts are exact; with one they are near, and every sample is within it."""
+    exact = Catalogue.from_patterns(graph, [CYCLE], 4)
+    assert Catalogue.levelled(graph, [CYCLE], 4).counts == exact.counts
+    near = Catalogue.levelled(graph, [CYCLE], 4, limit=1500)
+    for code, n in exact.counts.items():
+        assert len(code[0]) < 3 and near.counts[code] == n or 0.6 * n <= near.counts[code] <= 1.5 * n, (code, n, near.counts[code])
+    near.save(spark, f"file://{tmp_path}/catalogue")
+    assert Catalogue.load(spark, f"file://{tmp_path}/catalogue").counts == near.counts
+
+
 def test_estimate_by_hand():
     path = Pattern.of({0: "A", 1: "B", 2: "C"}, [(0, 1, "r"), (1, 2, "s")])
     counts = {Pattern.of({0: x}, []).code(): n for x, n in (("A", 5.0), ("B", 10.0), ("C", 20.0))}

@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..sources.graph import PropertyGraph
-from .pattern import Edge, Pattern, patterns_of
+from .pattern import Edge, Pattern, isomorphism, patterns_of
 
 
 def bindings(graph: PropertyGraph, pattern: Pattern, rate: float = 1.0, seed: int = 12345, sampled: dict[str, float] | None = None) -> tuple[DataFrame, float]:
@@ -72,6 +73,60 @@ class Catalogue:
                     out.counts[code] = counted(graph, q, rate, out.seed, sampled)
         return out
 
+    @classmethod
+    def levelled(cls, graph: PropertyGraph, patterns: list[Pattern], most: int = 3, rate: float = 1.0, limit: int = 100_000, seed: int = 12345) -> Catalogue:
+        """Counts level by level: a pattern is counted by extending a sample of the bindings of one with a vertex less, and no join is larger than that sample's extension.
+
+        Patterns of one edge are counted exactly. Of a pattern's bindings, a share of `rate`, and of `limit` rows at most by expectation, is kept for those above it; counts of
+        those are divided by the shares taken on the way.
+        """
+        out, kept = cls(seed=seed), {}
+        wanted: dict[tuple, Pattern] = {}
+        for p in patterns:
+            for q in p.sub_patterns(most):
+                wanted.setdefault(q.code(), q)
+        for code, q in sorted(wanted.items(), key=lambda x: (len(x[1].vertices), len(x[1].edges))):
+            parent = cls._parent(q, kept)
+            if parent is None:
+                df, share = bindings(graph, q)[0], 1.0
+            else:
+                tag, names, (base, share) = parent
+                df = base.withColumnsRenamed({f"v{a}": f"_v{a}" for a in names}).withColumnsRenamed({f"_v{a}": f"v{b}" for a, b in names.items()})
+                for e in sorted(q.at(tag), key=lambda e: e.src == e.dst):
+                    rows = graph.edges([e.relation], [q.labels[e.src]], [q.labels[e.dst]]).select("src", "dst")
+                    if e.src == e.dst:
+                        rows = rows.where("src = dst").drop("dst").withColumnRenamed("src", f"v{tag}")
+                    else:
+                        rows = rows.withColumnsRenamed({"src": f"v{e.src}", "dst": f"v{e.dst}"})
+                    df = df.join(rows, [c for c in rows.columns if c in df.columns])
+            n = df.count()
+            out.counts[code] = n / share
+            if any(len(x.vertices) > len(q.vertices) for x in wanted.values()) and len(q.vertices) > 1:
+                part = min(rate, limit / max(n, 1))
+                sample = df.sample(fraction=part, seed=seed) if part < 1 else df
+                kept[code] = q, (scratch.written(sample, "bindings"), share * min(part, 1.0))
+        return out
+
+    @staticmethod
+    def _parent(q: Pattern, kept: dict):
+        """A vertex whose removal leaves a pattern with a sample; the renaming of that sample's tags; the sample."""
+        for tag, _ in q.vertices:
+            rest = q.without_vertex(tag)
+            if len(rest.components()) == 1 and (found := kept.get(rest.code())):
+                old = found[0]
+                names = isomorphism(old, rest)
+                if names is not None:
+                    return tag, names, found[1]
+        return None
+
+    def save(self, spark, path: str) -> None:
+        """Where plans of later sessions find it: statistics are not collected anew for each query."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Catalogue:
+        return cls.from_json(spark.read.text(path).first()[0])
+
     @classmethod
     def from_schema(cls, graph: PropertyGraph, most: int = 2, rate: float = 1.0) -> Catalogue:
         """Counts of all patterns of at most `most` vertices that the schema allows."""
