@@ -2,6 +2,8 @@
 
 Every round joins nodes to the smallest node they know; links never leave the executors. Tables between rounds are written to the shared
 folder. A hub's links are split by the join, as each side of it has one row a link or one row a node.
+
+Edge cases: no links give no rows; loops and repeated links count once; links with a null end join nothing and go.
 """
 
 from __future__ import annotations

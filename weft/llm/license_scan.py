@@ -10,7 +10,7 @@ touch are one; it spans from the first to the last matching shingle.
 
 Scale: the templates' bands go to every task (their number is fixed by the caller); texts are read once and nothing is shuffled.
 
-Edge cases: null and empty texts, and texts shorter than a shingle, have no match; a null doc_id stays null; repeated rows are scanned each; an empty
+Edge cases: very long texts are scanned whole, window by window; null and empty texts, and texts shorter than a shingle, have no match; a null doc_id stays null; repeated rows are scanned each; an empty
 table gives an empty result; other columns are ignored. Templates shorter than a shingle are refused. Where two templates have the same text both match.
 """
 

@@ -15,7 +15,7 @@ much as there are links. Every pair that shares a bucket is therefore joined by
 
 Sets are of runs of `shingle` words: `SHINGLE` for op7, five for the pipeline's stage. With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
 
-Edge cases: a null text counts as empty; an empty set links to nothing. A null doc_id is ignored when the smallest id is chosen, and is a component's
+Edge cases: very long texts give larger sets, of which a row has one, and nothing is cut; a null text counts as empty; an empty set links to nothing. A null doc_id is ignored when the smallest id is chosen, and is a component's
 id only where all ids are null. Rows that repeat an id belong to one component if their sets do; of equal smallest ids one row is
 kept. An empty table gives an empty result; other columns are ignored.
 """

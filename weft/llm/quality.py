@@ -11,7 +11,7 @@ the other, and the final fit uses both, so no row calibrates the fit that has le
 Scale: texts are read once; a written table of statistics feeds all passes. Shuffled are partition sums, whose size does not depend
 on rows, and labels against ids.
 
-Edge cases: null and empty texts have the statistics of an empty text and are scored; a null doc_id has no label; rows that repeat an id
+Edge cases: statistics are of whole texts, however long; equal statistics have equal scores; null and empty texts have the statistics of an empty text and are scored; a null doc_id has no label; rows that repeat an id
 count each; of several labels of an id the largest counts; without labels of both values the score is the share of label 1, or 0.5 without
 any; an empty table gives an empty result; other columns are never inputs.
 """

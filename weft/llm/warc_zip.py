@@ -12,7 +12,7 @@ Scale: html is read twice (digests, then writing) and never shuffled while the t
 broadcast bound; beyond it that join shuffles. Archive paths come from a written table, so a retried task leaves at
 most a file that nobody reads.
 
-Edge cases: a null page_id is written as `null` and read back as null, and never is a response while a row with an id has
+Edge cases: very long payloads are written and digested whole, an archive holding one record at least; of equal payloads the smallest page_id is the response; a null page_id is written as `null` and read back as null, and never is a response while a row with an id has
 the payload. Rows that repeat page_id and payload have the same type. An empty table gives no archive and an empty result.
 Other columns than page_id, url and html are ignored; url may be absent or null.
 """
