@@ -11,7 +11,8 @@
 No bucket is expanded into all its pairs. First, each member meets two pivots of its bucket: the member that shares most places
 in buckets, which is the middle of its copies if there is one, and one at random. Confirmed links give components. Only in buckets that still have several components, members
 outside the largest one meet those of other components, and the condition of the join holds both sketches, so what comes out of it is about as
-much as there are links. Every pair that shares a bucket is therefore joined by a path of links, or has been tested: no link is lost.
+much as there are links. In a bucket of more than `CROWD` components, such as unlike texts with one long passage in common, members meet through their rarest shingles instead, which no
+similar pair can do without. Every pair that shares a bucket is therefore joined by a path of links, or has been tested: no link is lost.
 
 Sets are of runs of `shingle` words: `SHINGLE` for op7, five for the pipeline's stage. With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
 
@@ -29,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components, textstats
@@ -41,6 +42,7 @@ SKETCH_WORDS = 8  # of 64 bits
 SAMPLES = BANDS * ROWS
 SET_WORDS = 32  # of 64 bits, for the sketch of whole sets
 DEVIATIONS = 5.0
+CROWD = 64  # components in one bucket beyond which its members are not compared with each other but through rare shingles
 IDS_SENT = 1_000_000  # 8 MB
 
 _rng = np.random.default_rng(11)
@@ -221,10 +223,9 @@ class _Search:
         difference = _xor("w", SET_WORDS) * (100 + self.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - self.percent)
         return sizes & (_xor("s", SKETCH_WORDS) <= self.limit) & difference
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links among written pairs (a, b), by the whole sets: these are made once per node, and intersected where the pairs are joined."""
-        used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        used = common.written(self.nodes.select("node", "key", "doc_id").join(used, "node"), "near-used")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """Written table of node and set (array) for a table of distinct nodes, from the whole texts."""
+        used = common.written(self.nodes.select("node", "key", "doc_id").join(nodes, "node"), "near-used")
         # IDs of one document per node: sent to the executors while they are few, else joined by a shuffle.
         if used.limit(IDS_SENT + 1).count() <= IDS_SENT:
             source, ids = self.docs, np.sort(used.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy())
@@ -233,19 +234,47 @@ class _Search:
         sets = common.mapped(source, _sets(ids, self.shingle), "key binary, set array<long>").join(used.select("key", "node"), "key")
         # A key may come from several partitions: equal keys have equal sets
         sets = common.written(sets.groupBy("node").agg(F.any_value("set").alias("set")), "near-sets")
+        common.dropped(used)
+        return sets
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Links among written pairs (a, b), by the whole sets: these are made once per node, and intersected where the pairs are joined."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
         shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
         out = common.written(both.where(100 * shared >= self.percent * (total - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
-        common.dropped(sets, used)
+        common.dropped(sets)
         return out
 
+    def crowded(self, members: DataFrame) -> DataFrame:
+        """Pairs among members (node, root) of crowded buckets that share one of their rarest shingles and are of different components.
+
+        Two sets of similarity p must share one of the n - p n + 1 shingles of either that come first in any one order; in that of rarity, what very many have in common
+        makes no pairs. No pair that is similar enough is lost.
+        """
+        sets = self.sets(members.select("node").distinct())
+        each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
+        often = common.written(each.groupBy("s").agg(F.count(F.lit(1)).alias("often")), "near-often")
+        place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+        first = each.join(often.hint("merge"), "s").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)
+        first = common.written(first.select("s", "node").join(members.distinct(), "node"), "near-first")
+        common.dropped(sets, often)
+        sizes = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("s").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main")).where("roots > 1").select("s", "main")
+        left = common.written(first.join(mixed, "s"), "near-rare")
+        a = left.where("root != main").select("s", "main", F.col("node").alias("a"), F.col("root").alias("a_root"))
+        b = left.select("s", F.col("node").alias("b"), F.col("root").alias("b_root"))
+        pairs = a.join(b, "s").where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))))
+        return self.near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
     def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of a bucket that are not yet in one component and that sizes and sketches do not rule out."""
         joined = members.select("h", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         joined = common.written(joined, "near-rooted")
         sizes = joined.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main")).where("roots > 1").select("h", "main")
-        left = joined.join(mixed, "h")
+        mixed = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main")).where("roots > 1")
+        mixed = common.written(mixed, "near-buckets")
+        left = joined.join(mixed.where(F.col("roots") <= CROWD).select("h", "main"), "h")
         full = common.written(left.join(self.nodes.select("node", "n", "bands", "sketch", "whole"), "node"), "near-mixed")
         side = lambda x: [F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n"), F.col("bands").alias(f"{x}_bands"), *_sketched(x)]
         a = full.where("root != main").select("h", "band", "main", *side("a"))
@@ -254,7 +283,10 @@ class _Search:
         once = (F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))
         first = ~F.arrays_overlap(F.slice("a_bands", F.lit(1), F.col("band")), F.slice("b_bands", F.lit(1), F.col("band")))
         near = a.join(b, (F.col("h") == F.col("b_h")) & (F.col("a_root") != F.col("b_root")) & once & self.close() & first)
-        return near.select("a", "b").distinct()
+        near, many = near.select("a", "b"), mixed.where(F.col("roots") > CROWD)
+        if not many.isEmpty():
+            near = near.unionAll(self.crowded(joined.join(many.select("h"), "h").select("node", "root")))
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
