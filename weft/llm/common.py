@@ -75,11 +75,12 @@ def remembering(owner: str, forget: Callable[[], None]) -> None:
     _memories[owner] = forget
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows and few enough bytes, else with one for a shuffle, so that no guess of its size broadcasts it.
 
     `df` should be a written table, as its rows are counted first; its bytes are those of rows of the schema's default widths.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     width = df._jdf.queryExecution().analyzed().schema().defaultSize()
     return F.broadcast(df) if df.limit(rows + 1).count() <= min(rows, BROADCAST_BYTES // max(1, width)) else df.hint("merge")
 
