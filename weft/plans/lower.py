@@ -52,7 +52,8 @@ class Lowering:
         e = e.where(F.expr(link.predicate)) if link.predicate else e
         wanted = [F.col(c).alias(f"{link.alias}__{c}") for c in self.columns.get(link.alias, [])] if link.alias else []
         out = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *wanted)
-        return out.distinct() if self.distinct and not wanted else out
+        out = out.distinct() if self.distinct and not wanted else out
+        return F.broadcast(out) if not wanted and set(self.graph.schema.matching([link.relation], [q[link.src].label], [q[link.dst].label])) <= self.graph.small else out
 
     def condition(self, link: Link) -> Column:
         if link.identity:

@@ -13,6 +13,10 @@ from . import scratch
 from .schema import GraphSchema, Relation
 
 
+#: Edges that a stored relation may have to be broadcast: 16 bytes each, 32 MB.
+BROADCAST_EDGES = 2_000_000
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
@@ -23,6 +27,8 @@ class PropertyGraph:
     def __init__(self, vertices: dict[str, DataFrame], edges: dict[Relation, DataFrame], schema: GraphSchema | None = None, symmetric: Iterable[str] = ()):
         """`symmetric` names relations that have every edge in both directions, equally often."""
         self.symmetric = frozenset(symmetric)
+        #: Relations whose edges were counted and are few enough to be broadcast.
+        self.small: frozenset[Relation] = frozenset()
         self.vertex_tables, self.edge_tables = vertices, edges
         self.schema = schema or GraphSchema(
             {n: dict(t.dtypes) for n, t in vertices.items()},
@@ -69,7 +75,9 @@ class PropertyGraph:
     def stored(self, *relations: str) -> PropertyGraph:
         """The edges of the relations, which may be costly to derive, written once and read from there; to be used where a query reads them several times."""
         edges = {r: scratch.written(t, "edges") if r.name in relations else t for r, t in self.edge_tables.items()}
-        return PropertyGraph(self.vertex_tables, edges, self.schema, self.symmetric)
+        out = PropertyGraph(self.vertex_tables, edges, self.schema, self.symmetric)
+        out.small = frozenset(r for r, t in edges.items() if r.name in relations and t.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES)
+        return out
 
     def lookup(self, label: str, column: str, value) -> DataFrame:
         """Vertices of one label by primary key; the comparison reaches the scan."""

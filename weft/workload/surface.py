@@ -10,12 +10,13 @@ from ..plans.catalogue import Catalogue, sparsified
 from ..plans.job_planner import JoinPlanner
 from ..plans.lower import executed
 from ..plans.pattern import Pattern, PatternError
-from ..plans.planner import Planner
+from ..plans.planner import Planner, QueryGraph, fixed_hops
 from ..plans.sql_where import classified
 from ..sources import files, scratch
 from ..sources.graph import order_graph
 from ..streaming.stream import Stream
 from .operators import CYCLE_SQL, cycle_catalogue, cycle_query, graph_query, read
+from .social import PERSON, walks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -350,3 +351,53 @@ def plan_join_cycle(spark, sf_dir):
     join = JoinPlanner(planner)
     df = executed(planner.left_deep(join.order()), graph, q)
     return df.agg(F.count(F.lit(1)).alias("n")).withColumn("checked", F.lit(any(s.kind == "EDGECHECK" for s in join.best()[1])))
+
+
+# What a friend is asked for in each text with a variable-length edge: hops, and edges (name, from, to) from the friend b on.
+SHAPES = {
+    "ic_1": (1, 3, [("customerIn", "b", "n")]),
+    "ic_3": (1, 2, [("placed", "b", "o"), ("suppliedBy", "o", "s"), ("supplierIn", "s", "n")]),
+    "ic_5": (1, 2, [("placed", "b", "o"), ("suppliedBy", "o", "s")]),
+    "ic_6": (1, 2, [("placed", "b", "o"), ("contains", "o", "p")]),
+    "ic_9": (1, 2, [("placed", "b", "o")]),
+    "ic_10": (2, 2, [("customerIn", "b", "n"), ("placed", "b", "o")]),
+    "ic_11": (1, 2, [("customerIn", "b", "n"), ("partOf", "n", "r")]),
+}
+LABELS = {"a": "Customer", "b": "Customer", "n": "Nation", "o": "Order", "p": "Part", "r": "Region", "s": "Supplier"}
+_JOINS = {
+    ("customerIn", "b", "n"): "JOIN customer cn ON cn.c_custkey = w.b",
+    ("partOf", "n", "r"): "JOIN nation ON n_nationkey = cn.c_nationkey",
+    ("placed", "b", "o"): "JOIN orders ON o_custkey = w.b",
+    ("contains", "o", "p"): "JOIN lineitem lp ON lp.l_orderkey = o_orderkey",
+    ("suppliedBy", "o", "s"): "JOIN lineitem ls ON ls.l_orderkey = o_orderkey",
+    ("supplierIn", "s", "n"): "JOIN supplier ON s_suppkey = ls.l_suppkey",
+}
+_HOPS = [(name, hops, edges) for name, (lo, hi, edges) in SHAPES.items() for hops in range(lo, hi + 1)]
+
+
+def hop_pattern(name: str) -> dict:
+    """A pattern file with a variable-length edge."""
+    lo, hi, edges = SHAPES[name]
+    aliases = list(dict.fromkeys(["a", "b", *[x for _, s, d in edges for x in (s, d)]]))
+    vertices = [{"tag_id": i, "alias": x, "label": LABELS[x], "label_id": i} for i, x in enumerate(aliases)]
+    every = [("knows", "a", "b", lo, hi, True), *[(r, s, d, 1, 1, False) for r, s, d in edges]]
+    found = [
+        {"edge_id": i, "alias": None, "type": r, "relation_id": i, "relation_label": r, "source_tag": aliases.index(s), "target_tag": aliases.index(d), "min_hops": x, "max_hops": y, "is_var_expand": var, "is_identity": False, "is_reversed": False}
+        for i, (r, s, d, x, y, var) in enumerate(every)
+    ]
+    person = {"combined": {"expression": f"id = {PERSON}", "selectivity": 0.001}}
+    return {"query": name, "match": {"vertices": vertices, "edges": found}, "sql": {"vertices": [], "edges": []}, "aliases": {"a": person}, "alias_domains": dict.fromkeys(aliases, "match")}
+
+
+@query(f"WITH {walks(1, 3)} " + " UNION ALL ".join(f"SELECT '{name}-{hops}' AS query, count(*) AS n FROM (SELECT b FROM w WHERE distance = {hops}) w {' '.join(_JOINS[e] for e in edges)}" for name, hops, edges in _HOPS))
+def plan_hop_patterns(spark, sf_dir):
+    """Fourteen patterns, one per number of hops of each variable-length edge, planned and executed each."""
+    graph = order_graph(spark, sf_dir).stored("knows")
+    every = Pattern.of({0: "Customer", 1: "Customer", 2: "Order", 3: "Part", 4: "Supplier", 5: "Nation", 6: "Region"}, [(0, 1, "knows"), (0, 2, "placed"), (2, 3, "contains"), (2, 4, "suppliedBy"), (4, 5, "supplierIn"), (0, 5, "customerIn"), (5, 6, "partOf")])
+    catalogue, out = Catalogue.levelled(graph, [every], 2), None
+    for name, hops, _ in _HOPS:
+        data = fixed_hops(hop_pattern(name), hops)
+        q = QueryGraph.from_json(data)
+        part = executed(Planner(q, catalogue).best(), graph, q).agg(F.lit(data["query"]).alias("query"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionAll(part)
+    return out
