@@ -173,3 +173,22 @@ def test_authored_order_survives(graph, catalogue):
     df = executed(Planner(q, catalogue).left_deep(["v3", "v2", "v1", "v0"]), graph, q)
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join") >= 3
+
+
+def test_command_line(spark, tmp_path):
+    """Tables, patterns, counts, estimates and a plan of a written graph."""
+    from weft.plans.__main__ import run
+    from weft.sources.files import write_graph
+
+    root = f"file://{tmp_path}/g"
+    write_graph(modern_graph(spark), root)
+    assert "edge\tperson-created-software\t4" in run(spark, ["tables", root])
+    lines = run(spark, ["patterns", root, "--most", "2"])
+    assert len(lines) == len(patterns_of(modern_graph(spark).schema, 2))
+    run(spark, ["catalogue", root, f"file://{tmp_path}/c", "--most", "2"])
+    path = Pattern.of({0: "person", 1: "person", 2: "software"}, [(0, 1, "knows"), (1, 2, "created")])
+    (tmp_path / "p.json").write_text(json.dumps(path.to_json(modern_graph(spark).schema)))
+    assert run(spark, ["count", root, str(tmp_path / "p.json")]) == ["2"]
+    out = run(spark, ["ceg", f"file://{tmp_path}/c", root, str(tmp_path / "p.json")])
+    assert len(out) == 3 and out[-1] == "2\testimate"
+    assert run(spark, ["plan", f"file://{tmp_path}/c", root, str(tmp_path / "p.json")])[0].startswith("shape:")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import scratch
+from ..sources import files, scratch
 from ..sources.graph import PropertyGraph
 from .pattern import Edge, Pattern, isomorphism, patterns_of
 
@@ -209,3 +209,9 @@ def selectivities(table: DataFrame, predicates: dict[str, str]) -> dict[str, dic
     named = {**predicates, "combined": both}
     row = table.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.expr(p)).alias(f"p{i}") for i, p in enumerate(named.values())]).first()
     return {k: {"expression": p, "matched_rows": row[f"p{i}"], "total_rows": row["_n"], "selectivity": row[f"p{i}"] / row["_n"] if row["_n"] else 1.0} for i, (k, p) in enumerate(named.items())}
+
+
+def folder_selectivities(spark, root: str, predicates: dict[str, dict[str, str]]) -> dict[str, dict[str, dict]]:
+    """`selectivities` by table, straight from a folder of delimited files."""
+    tables = files.read_folder(spark, root)
+    return {name: selectivities(tables[name], own) for name, own in predicates.items()}

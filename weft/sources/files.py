@@ -38,6 +38,22 @@ def sniffed_delimiter(spark: SparkSession, path: str) -> str:
     return max("|,\t;", key=lambda c: line[0][0].count(c)) if line else ","
 
 
+def read_folder(spark: SparkSession, root: str, views: bool = False) -> dict[str, DataFrame]:
+    """Every delimited file (`.csv`, or a folder of parts) right below `root` as a table by its name, with a header, its likeliest delimiter and inferred types; with `views` as
+    temporary views too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    out = {}
+    for status in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+        name, at = status.getPath().getName(), status.getPath().toString()
+        if name.startswith(("_", ".")) or not (status.isDirectory() or name.endswith(".csv")):
+            continue
+        table = name.removesuffix(".csv")
+        out[table] = spark.read.option("sep", sniffed_delimiter(spark, at)).option("header", True).option("inferSchema", True).csv(at)
+        if views:
+            out[table].createOrReplaceTempView(table)
+    return out
+
+
 def read_social_graph(spark: SparkSession, root: str, catalog: dict) -> PropertyGraph:
     """A graph from delimited files.
 

@@ -59,7 +59,9 @@ class Stream:
     switch = branch
 
     def copied(self) -> tuple[Stream, Stream]:
-        return self, self
+        """The rows twice; they are made once, and written."""
+        once = self._of(checkpointed(self.df))
+        return once, once
 
     def unary(self, function: Callable, schema: str) -> Stream:
         """A function from an iterator of pandas frames to one, per partition."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import iterate
 from ..operators.query import GraphQuery, QueryError
-from ..plans.catalogue import Catalogue, sparsified
+from ..plans.catalogue import Catalogue, folder_selectivities, sparsified
 from ..plans.job_planner import JoinPlanner
 from ..plans.lower import executed
 from ..plans.pattern import Pattern, PatternError
@@ -99,6 +99,16 @@ def files_sink_graph(spark, sf_dir):
     return out.select(s="@s", n="@n", name="@n.name")
 
 
+@query("SELECT 'orders' AS source, 'big' AS name, cast(count_if(o_totalprice > 100000) AS bigint) AS matched, count(*) AS total FROM orders UNION ALL SELECT 'nation', 'early', cast(count_if(n_name < 'G') AS bigint), count(*) FROM nation")
+def files_selectivities(spark, sf_dir):
+    """Selectivities straight from a folder of delimited files with different delimiters."""
+    root = scratch.path(spark, "folder")
+    for name, sep in (("orders", ";"), ("nation", "|")):
+        read(spark, sf_dir, name).write.option("sep", sep).option("header", True).csv(f"{root}/{name}.csv")
+    found = folder_selectivities(spark, root, {"orders": {"big": "o_totalprice > 100000"}, "nation": {"early": "n_name < 'G'"}})
+    return rows(spark, [(t, n, found[t][n]["matched_rows"], found[t][n]["total_rows"]) for t, n in (("orders", "big"), ("nation", "early"))], "source string, name string, matched long, total long")
+
+
 # --- graph operators ------------------------------------------------------------------------------------------------
 
 
