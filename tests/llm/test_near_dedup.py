@@ -78,22 +78,6 @@ def test_repeated_ids_with_different_texts(docs):
     assert found == sorted([(1, one), (2, two), (4, ""), (4, None)], key=str)
 
 
-def test_crowded_buckets(docs, monkeypatch):
-    """Unlike texts that share a passage, with similar pairs among them; each bucket of more than a component counts as crowded."""
-    monkeypatch.setattr(near_dedup, "CROWD", 1)
-    rng = random.Random(8)
-    passage = [f"p{k}" for k in range(60)]
-    rows = []
-    for k in range(40):
-        own = [f"o{k}x{j}" for j in range(rng.randint(10, 30))]
-        rows.append((2 * k, " ".join([*passage, *own])))
-        if k % 4 == 0:
-            rows.append((2 * k + 1, " ".join([*passage, *own[:-2], "other", "end"])))
-    rows += [(1000 + i, t) for i, t in corpus(5)]
-    found = near_dedup.near_dedup(docs(rows)).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows)
-
-
 def test_ids_by_shuffle(docs, monkeypatch):
     rows = corpus(3)
     monkeypatch.setattr(near_dedup, "IDS_SENT", 0)
