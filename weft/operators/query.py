@@ -30,6 +30,8 @@ class GraphQuery:
     def __init__(self, graph: PropertyGraph, df: DataFrame | None = None, tags: dict[str, tuple] | None = None, head: str | None = None):
         """`tags`: name -> ("vertex", labels) | ("edge", relations) | ("path", labels) | ("value",)."""
         self.graph, self.df, self.tags, self.head = graph, df, dict(tags or {}), head
+        #: Counts the rows without making them, right after a MATCH that allows it.
+        self.counter: Callable[[], DataFrame] | None = None
 
     def _with(self, df: DataFrame, tags: dict | None = None, head: str | None = "") -> GraphQuery:
         return GraphQuery(self.graph, df, self.tags if tags is None else tags, self.head if head == "" else head)
@@ -350,6 +352,8 @@ class GraphQuery:
 
     def group_by(self, keys: dict[str, str | Column], aggs: dict[str, tuple]) -> GraphQuery:
         """`aggs`: alias -> (function, expression...). Without keys one row is made; ("count",) counts rows."""
+        if self.counter and not keys and all(tuple(x) == ("count",) for x in aggs.values()):
+            return self._with(self.counter().select(*[F.col("n").alias(a) for a in aggs]), {n: ("value",) for n in aggs}, list(aggs)[-1])
         used = [x for _, *xs in aggs.values() for x in xs]
         out = self._prepared(*keys.values(), *used)
         columns = [aggregate(name, *[out._value(x) for x in xs]).alias(alias) for alias, (name, *xs) in aggs.items()]

@@ -2,11 +2,17 @@
 
 Predicates on one vertex go to its scan. A pattern with symmetries is bound once per orbit: only bindings that are the least, in the order of ids, of their images are
 joined, and the images are made from them at the end, without another join. A triangle is so found once and not six times.
+
+Where all edges of a pattern are of one relation that joins the members of classes (`PropertyGraph.classes`), its bindings are as many as the product of the classes' sizes, and
+counting them needs none of them: see `class_count`.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +70,67 @@ def unfolded(df: DataFrame, group: list[dict[str, str]], order: list[str]) -> Da
     return rows.select(*[F.col(f"_b.{n}__id").alias(f"{n}__id") for n in order])
 
 
+#: Pairs of vertices with an edge that a pattern may have to be counted by classes: the terms are two to the power of that.
+CLASS_PAIRS = 10
+
+
+def class_terms(edges: list[tuple[str, str]]) -> dict[tuple[int, ...], int]:
+    """Coefficients of products of power sums, by their powers, that give the bindings of a pattern in one class.
+
+    A vertex row that occurs w times gives each of its edges the factor w. Ends of an edge must differ: by inclusion and exclusion over the pairs whose ends
+    do not, each part that these pairs connect is one vertex, which has the factor w to the power of the part's degrees.
+    """
+    degree = Counter(x for e in edges for x in e)
+    pairs = sorted({tuple(sorted(e)) for e in edges})
+    terms: Counter[tuple[int, ...]] = Counter()
+    for k in range(len(pairs) + 1):
+        for same in combinations(pairs, k):
+            part = {x: x for x in degree}
+            for a, b in same:
+                part = {x: part[a] if p == part[b] else p for x, p in part.items()}
+            powers = Counter()
+            for x, p in part.items():
+                powers[p] += degree[x]
+            terms[tuple(sorted(powers.values()))] += (-1) ** k
+    return {t: n for t, n in terms.items() if n}
+
+
+def class_count(graph, relation, edges: list[tuple[str, str]]) -> DataFrame | None:
+    """`n`, the number of bindings of a connected pattern whose edges all are of one relation of `graph.classes`; None where an id is in several classes."""
+    keys = list(graph.classes[relation])
+    rows = graph.vertex_tables[relation.src].select("id", *keys).dropna()
+    rows = rows.groupBy(*keys, "id").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("w"))
+    if not rows.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        return None
+    terms = class_terms(edges)
+    product = lambda columns: reduce(lambda a, b: a * b, columns).cast("decimal(38,0)")
+    sums = rows.groupBy(*keys).agg(*[F.sum(product([F.col("w")] * d)).cast("decimal(38,0)").alias(f"p{d}") for d in sorted({d for t in terms for d in t})], F.count(F.lit(1)).alias("size"))
+    each = [product([F.lit(n).cast("decimal(38,0)"), *[F.col(f"p{d}") for d in t]]) for t, n in terms.items()]
+    total = reduce(lambda a, b: (a + b).cast("decimal(38,0)"), each, F.lit(0).cast("decimal(38,0)"))
+    return sums.agg(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("n"))
+
+
+def counter(graph, sentences, label, edges, predicates) -> Callable[[], DataFrame] | None:
+    """What counts the bindings without making them, where the pattern allows it."""
+    relations = {x for s, r, e, _ in edges for x in graph.schema.matching(r, [label[s]], [label[e]])}
+    pairs = {frozenset((s, e)) for s, _, e, _ in edges}
+    if predicates or len(relations) != 1 or not relations <= set(graph.classes) or any(k != "inner" for *_, k in edges) or len(pairs) > CLASS_PAIRS:
+        return None
+    relation = next(iter(relations))
+
+    def run() -> DataFrame:
+        from ..operators.query import GraphQuery
+
+        found = class_count(graph, relation, [(s, e) for s, _, e, _ in edges])
+        if found is None:
+            plain = graph.stored(relation.name)
+            plain.classes = {}
+            found = GraphQuery(plain).match(sentences, label).group_by({}, {"n": ("count",)}).df
+        return found
+
+    return run
+
+
 def matched(outer, sentences, labels, predicates, catalogue: Catalogue | None):
     from ..operators.query import GraphQuery, QueryError
 
@@ -125,4 +192,6 @@ def matched(outer, sentences, labels, predicates, catalogue: Catalogue | None):
             return q.where(predicates[name]) if name in predicates else q
 
         out = out.apply(task, kind, on=have)
-    return out._with(out.df, head=bound[-1])
+    out = out._with(out.df, head=bound[-1])
+    out.counter = counter(graph, sentences, label, edges, predicates)
+    return out

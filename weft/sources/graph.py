@@ -24,9 +24,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 class PropertyGraph:
     """Vertex tables have column `id` (long, unique in the label); edge tables have `src` and `dst`, and may be bags."""
 
-    def __init__(self, vertices: dict[str, DataFrame], edges: dict[Relation, DataFrame], schema: GraphSchema | None = None, symmetric: Iterable[str] = ()):
-        """`symmetric` names relations that have every edge in both directions, equally often."""
+    def __init__(self, vertices: dict[str, DataFrame], edges: dict[Relation, DataFrame], schema: GraphSchema | None = None, symmetric: Iterable[str] = (), classes: dict[Relation, tuple[str, ...]] | None = None):
+        """`symmetric` names relations that have every edge in both directions, equally often. `classes` has the relations that join any two vertex rows of one
+        label which have different ids and the same values, none missing, in the columns given."""
         self.symmetric = frozenset(symmetric)
+        self.classes = dict(classes or {})
         #: Relations whose edges were counted and are few enough to be broadcast.
         self.small: frozenset[Relation] = frozenset()
         self.vertex_tables, self.edge_tables = vertices, edges
@@ -75,7 +77,7 @@ class PropertyGraph:
     def stored(self, *relations: str) -> PropertyGraph:
         """The edges of the relations, which may be costly to derive, written once and read from there; to be used where a query reads them several times."""
         edges = {r: scratch.written(t, "edges") if r.name in relations else t for r, t in self.edge_tables.items()}
-        out = PropertyGraph(self.vertex_tables, edges, self.schema, self.symmetric)
+        out = PropertyGraph(self.vertex_tables, edges, self.schema, self.symmetric, self.classes)
         out.small = frozenset(r for r, t in edges.items() if r.name in relations and t.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES)
         return out
 
@@ -126,7 +128,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         Relation("Nation", "partOf", "Region"): edge(t["nation"], "n_nationkey", "n_regionkey"),
         Relation("Customer", "knows", "Customer"): edge(c.join(other, ["c_nationkey", "c_mktsegment"]).where("c_custkey != k2"), "c_custkey", "k2"),
     }
-    return PropertyGraph(vertices, edges, symmetric=["knows"])
+    return PropertyGraph(vertices, edges, symmetric=["knows"], classes={Relation("Customer", "knows", "Customer"): ("nationkey", "segment")})
 
 
 def modern_graph(spark: SparkSession) -> PropertyGraph:
