@@ -1,6 +1,8 @@
 """Joins beyond the bound of broadcasts, scratch tables, and pieces of rows that repeat an id or have none."""
 
+import gc
 import os
+import weakref
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -8,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 
-from weft.llm import common, exact_dedup, near_dedup, packing, warc_zip
+from weft.llm import common, exact_dedup, near_dedup, packing, textstats, warc_zip
 
 from test_near_dedup import brute, corpus
 
@@ -84,3 +86,42 @@ def test_scopes_delete_what_is_not_kept(spark, docs):
     assert tables(spark) == before
     near_dedup.near_dedup(docs(corpus(2))).collect()
     assert {x.rsplit("-", 1)[0] for x in tables(spark) - before} == {"near-labels", "near-best"}
+
+
+def test_forgotten_caches_are_freed():
+    """An encoder and its words refer to each other; they go when another owner's task begins, without waiting for the collector."""
+    gc.collect()
+    gc.disable()
+    try:
+        common.remembering("packing", packing.forget)
+        seen = weakref.ref(packing.encoder(TOKENIZER))
+        assert seen()("some words") and seen() is not None
+        common.remembering("words", textstats.forget)
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_few_files_of_many_partitions(spark, docs, monkeypatch):
+    """Tables on the way of near dedup don't get a file for every partition of a shuffle."""
+    files, write = {}, common.written
+
+    def written(df, name):
+        out = write(df, name)
+        files[name] = max(len(out.inputFiles()), files.get(name, 0))
+        return out
+
+    rows = corpus(1)
+    monkeypatch.setattr(common, "written", written)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_dedup.near_dedup(docs(rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows)
+    most = 2 * spark.sparkContext.defaultParallelism
+    few = {"near-nodes", "near-shared", "near-members", "near-used", "near-sets", "near-rooted", "near-mixed", "near-roots", "near-labels", "near-best", "links"}
+    assert {n for n in few if files[n] > most} == set() and few <= set(files)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +65,40 @@ def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, "1b") == "1b":  # not set
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_releasing(function), schema)
+
+
+def _releasing(function: Callable) -> Callable:
+    """`function`; what a task of it no longer uses goes back to the system at its end, as workers outlive tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        released()
+
+    return run
+
+
+def released() -> None:
+    """Give memory that is free inside this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _memories: dict[str, Callable[[], None]] = {}
 
 
 def remembering(owner: str, forget: Callable[[], None]) -> None:
-    """To be called where a task of `owner` begins: what other owners remember in this worker goes, so caches don't add up over a pipeline's stages."""
-    for other in [x for x in _memories if x != owner]:
+    """To be called where a task of `owner` begins: what other owners remember in this worker goes, so caches don't add up over a pipeline's stages.
+
+    Caches may be parts of cycles, which only the collector frees.
+    """
+    others = [x for x in _memories if x != owner]
+    for other in others:
         _memories.pop(other)()
+    if others:
+        gc.collect()
+        released()
     _memories[owner] = forget
 
 

@@ -32,15 +32,16 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """node and root (its component's smallest node) of every node that is not the smallest of its component.
 
-    `links` has columns u and v (long); either order, repeats and loops may occur.
+    `links` has columns u and v (long); either order, repeats and loops may occur. Tables between rounds have at most so many files, if that is given.
     """
-    now = common.written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    write = lambda df: common.written(df if files is None else df.coalesce(files), "links")
+    now = write(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
-        new = common.written(_small(_large(now)), "links")  # the large stars' exchange is made once and read twice
+        new = write(_small(_large(now)))  # the large stars' exchange is made once and read twice
         common.dropped(now)
         now, old, mark = new, mark, _mark(new)
         if mark == old:

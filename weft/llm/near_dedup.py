@@ -15,6 +15,9 @@ much as there are links. Every pair that shares a bucket is therefore joined by
 
 Sets are of runs of `shingle` words: `SHINGLE` for op7, five for the pipeline's stage. With 45 bands of 5 rows, two sets of similarity 0.8 share no band with probability 2e-8.
 
+Tables on the way have at most a file for `DOCS_A_FILE` documents, or two for each core, however many partitions a shuffle has; the tables whose joins may split a
+crowded bucket keep a file per task.
+
 Edge cases: very long texts give larger sets, of which a row has one, and nothing is cut; a null text counts as empty; an empty set links to nothing. A null doc_id is ignored when the smallest id is chosen, and is a component's
 id only where all ids are null. Rows that repeat an id belong to one component if their sets do; of equal smallest ids one row is
 kept. An empty table gives an empty result; other columns are ignored.
@@ -42,6 +45,7 @@ SAMPLES = BANDS * ROWS
 SET_WORDS = 32  # of 64 bits, for the sketch of whole sets
 DEVIATIONS = 5.0
 IDS_SENT = 1_000_000  # 8 MB
+DOCS_A_FILE = 10_000
 
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -198,17 +202,22 @@ class _Search:
         self.limit = sketch_limit(percent)
         schema = "doc_id long, uid long, key binary, n_shingles long, bands array<long>, sketch array<long>, whole array<long>"
         self.signed = common.written(common.mapped(docs, _sign(shingle), schema), "near-signed")
+        self.files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-self.signed.count() // DOCS_A_FILE))
         first = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands", True).alias("bands"), F.any_value("sketch", True).alias("sketch"), F.any_value("whole", True).alias("whole"))
-        self.nodes = common.written(first.where("key is not null").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+        self.nodes = self.written(first.where("key is not null").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """In few files: every new file costs a request to the shared folder, or, on a local disk without Hadoop's native library, two processes."""
+        return common.written(df.coalesce(self.files), name)
 
     def members(self) -> DataFrame:
         """node and band (from 0) of each bucket with two nodes or more, with two pivots of the bucket."""
         rows = self.nodes.select("node", F.posexplode("bands").alias("band", "h"))
         sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = common.written(rows.join(sizes, "h"), "near-shared")
+        shared = self.written(rows.join(sizes, "h"), "near-shared")
         ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("places")), "node")
         pivots = ranked.groupBy("h").agg(F.max(F.struct("places", "node"))["node"].alias("p1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("p2"))
-        return common.written(shared.drop("size").join(pivots, "h"), "near-members")
+        return self.written(shared.drop("size").join(pivots, "h"), "near-members")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches do not rule out."""
@@ -224,7 +233,7 @@ class _Search:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links among written pairs (a, b), by the whole sets: these are made once per node, and intersected where the pairs are joined."""
         used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        used = common.written(self.nodes.select("node", "key", "doc_id").join(used, "node"), "near-used")
+        used = self.written(self.nodes.select("node", "key", "doc_id").join(used, "node"), "near-used")
         # IDs of one document per node: sent to the executors while they are few, else joined by a shuffle.
         if used.limit(IDS_SENT + 1).count() <= IDS_SENT:
             source, ids = self.docs, np.sort(used.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy())
@@ -232,7 +241,7 @@ class _Search:
             source, ids = self.docs.join(used.select("doc_id").distinct(), self.docs["doc_id"].eqNullSafe(used["doc_id"]), "left_semi"), None
         sets = common.mapped(source, _sets(ids, self.shingle), "key binary, set array<long>").join(used.select("key", "node"), "key")
         # A key may come from several partitions: equal keys have equal sets
-        sets = common.written(sets.groupBy("node").agg(F.any_value("set").alias("set")), "near-sets")
+        sets = self.written(sets.groupBy("node").agg(F.any_value("set").alias("set")), "near-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
         shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
         out = common.written(both.where(100 * shared >= self.percent * (total - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
@@ -242,11 +251,11 @@ class _Search:
     def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of a bucket that are not yet in one component and that sizes and sketches do not rule out."""
         joined = members.select("h", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        joined = common.written(joined, "near-rooted")
+        joined = self.written(joined, "near-rooted")
         sizes = joined.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
         mixed = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main")).where("roots > 1").select("h", "main")
         left = joined.join(mixed, "h")
-        full = common.written(left.join(self.nodes.select("node", "n", "bands", "sketch", "whole"), "node"), "near-mixed")
+        full = self.written(left.join(self.nodes.select("node", "n", "bands", "sketch", "whole"), "node"), "near-mixed")
         side = lambda x: [F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n"), F.col("bands").alias(f"{x}_bands"), *_sketched(x)]
         a = full.where("root != main").select("h", "band", "main", *side("a"))
         b = full.select(F.col("h").alias("b_h"), *side("b"))
@@ -271,18 +280,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle
         pivots = members.select(F.col("node").alias("a"), F.col("p1").alias("b")).unionAll(members.select("node", "p2")).where("a != b").distinct()
         tested = common.written(run.near(pivots), "near-pivots")
         links = run.confirmed(tested)
-        roots = common.written(components.components(links), "near-roots")
+        roots = run.written(components.components(links, run.files), "near-roots")
         rest = run.rest(members, roots)
         done = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rest = common.written(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
         if not rest.isEmpty():
             links = links.unionAll(run.confirmed(rest))
-            roots = components.components(links)
+            roots = components.components(links, run.files)
         labels = run.nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"))
-        rows = common.written(run.signed.select("doc_id", "uid", "n_shingles", "key").join(labels, "key", "left"), "near-labels")
+        rows = run.written(run.signed.select("doc_id", "uid", "n_shingles", "key").join(labels, "key", "left"), "near-labels")
         # The smallest id; a null id only where there is no other
         best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
-        best = common.written(best, "near-best")
+        best = run.written(best, "near-best")
         keep(rows, best)
     alone = F.col("label").isNull()
     return rows.join(common.bounded(best), "label", "left").select(
